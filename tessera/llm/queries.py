@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, piece_bpe
+from tessera.llm import html_extract, packing, piece_bpe, warc
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -37,3 +37,31 @@ def op4_piece_bpe(spark, d):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_cost_packing")
+def op9_cost_packing(spark, d):
+    pieces = packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op10_arc_to_warc", """
+WITH seen AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS digest,
+                     max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS newest FROM pages),
+     bits AS (SELECT *, array_to_string(list_transform(range(40), lambda i:
+                right('0000' || bin(('0x' || substr(digest, i + 1, 1))::INT), 4)), '') AS b FROM seen)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+           + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM bits""")
+def op10_arc_to_warc(spark, d):
+    records = warc.archive(table(spark, d, "pages"))
+    return records.select(
+        F.col("key").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", "refers_to",
+    )
