@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, packing, piece_bpe, warc
+from tessera.llm import html_extract, iblt, packing, piece_bpe, warc
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -28,6 +28,11 @@ def op1_main_text(spark, d):
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query("op3_iblt_fingerprint")
+def op3_iblt_fingerprint(spark, d):
+    return iblt.edit_report(table(spark, d, "documents"))
+
+
 @query("op4_piece_bpe")
 def op4_piece_bpe(spark, d):
     coded = piece_bpe.encode_decode(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
