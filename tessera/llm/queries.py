@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import html_extract, iblt, packing, piece_bpe, warc
+from tessera.llm import block_knn, html_extract, iblt, packing, piece_bpe, warc
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -44,6 +44,11 @@ def op4_piece_bpe(spark, d):
     )
 
 
+@query("op6_block_knn")
+def op6_block_knn(spark, d):
+    return block_knn.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op9_cost_packing")
 def op9_cost_packing(spark, d):
     pieces = packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
