@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import block_knn, html_extract, iblt, packing, piece_bpe, warc
+from tessera.llm import block_knn, html_extract, iblt, language, packing, piece_bpe, quality, warc
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -49,6 +49,22 @@ def op6_block_knn(spark, d):
     return block_knn.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op7_attention_quality")
+def op7_attention_quality(spark, d):
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, table(spark, d, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op8_word_backoff_language")
+def op8_word_backoff_language(spark, d):
+    docs = table(spark, d, "documents")
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~quality.held_out()))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", quality.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 @query("op9_cost_packing")
 def op9_cost_packing(spark, d):
     pieces = packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
