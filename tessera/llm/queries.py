@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import block_knn, html_extract, iblt, language, packing, piece_bpe, quality, warc
+from tessera.llm import block_knn, html_extract, iblt, language, near_dedup, packing, piece_bpe, quality, warc
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -44,6 +44,11 @@ def op4_piece_bpe(spark, d):
     )
 
 
+@query("op5_lsh_forest")
+def op5_lsh_forest(spark, d):
+    return near_dedup.near_duplicates(table(spark, d, "documents"))
+
+
 @query("op6_block_knn")
 def op6_block_knn(spark, d):
     return block_knn.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
