@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import block_knn, html_extract, iblt, language, near_dedup, packing, piece_bpe, quality, warc
+from tessera.llm import block_knn, html_extract, iblt, language, near_dedup, packing, piece_bpe, quality, surrogates, warc
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -28,6 +28,16 @@ def op1_main_text(spark, d):
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+#: The query's key; a user passes a secret of their own.
+SURROGATE_KEY = "registered-query"
+
+
+@query("op2_surrogates")
+def op2_surrogates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return surrogates.replace_personal_data(docs, SURROGATE_KEY, count_col="n_entities")
+
+
 @query("op3_iblt_fingerprint")
 def op3_iblt_fingerprint(spark, d):
     return iblt.edit_report(table(spark, d, "documents"))
