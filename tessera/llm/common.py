@@ -33,6 +33,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds at most ``max_bytes`` of ``column`` (one row at least)."""
     n = batch.num_rows

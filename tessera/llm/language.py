@@ -162,15 +162,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     return Model(langs, tables, scores)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` of each whole text; no shuffle."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with the predicted language and its score for each whole text; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{pred_col}` string, `{score_col}` double"
     memory: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores = shared.value.predict(batch.column(text_col).to_pylist(), memory)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)],
-                                          names=[*batch.schema.names, "lang_pred", "lang_score"])
+                                          names=[*batch.schema.names, pred_col, score_col])
 
     return map_arrow(docs, run, schema, text_col)
