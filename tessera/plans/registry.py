@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational
+from tessera.plans import relational, timeseries
 
-_GROUPS = (relational,)
+_GROUPS = (relational, timeseries)
 
 
 def queries() -> dict:
