@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational, timeseries
+from tessera.plans import finance, graphs, relational, timeseries
 
-_GROUPS = (relational, timeseries)
+_GROUPS = (relational, timeseries, finance, graphs)
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,12 @@ def local_session(cpus: str | None = None, app: str = "tessera") -> SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``; projection and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in spark.checkpoint.dir, its lineage ended; a temporary folder where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint(eager=True)
