@@ -14,6 +14,7 @@ sequence is cut; repeated rows are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from tessera.llm.common import slices
 
 #: Sequences in a pool: bounds a task's memory; pools don't depend on the size of the table.
 POOL_SEQUENCES = 512
-#: Chunks of text whose ids a task remembers; the memory is emptied when full.
+#: Words or chunks of text whose ids a task remembers; the memory is emptied when full.
 CACHE_CHUNKS = 300_000
 #: Attention cost of a token pair against the linear cost of a token.
 QUADRATIC = 1 / 1024
@@ -62,10 +63,24 @@ def plan(lengths: np.ndarray, size: int, quadratic: float = QUADRATIC) -> tuple[
     return tuple(np.array(c, np.int64) for c in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(5))
 
 
+#: Characters of the plain path: printable ASCII, its white space, and Latin letters that normalisation leaves alone.
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u012f\u0131-\u024f]|<\\|")
+#: The tokenizer's own words, for texts of the plain path (a fixed pattern).
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ChunkTokenizer:
-    """Exact ids of whole texts by a tokenizer whose tokens never hold white space.
+    """Exact ids of whole texts by a tokenizer of lower-case words that never hold white space.
 
-    A text is cut at spaces and line feeds; the ids of a chunk are those of the tokenizer, remembered.
+    Texts of plain characters are cut into the tokenizer's words, and new words go through its model alone;
+    other texts are cut at spaces and line feeds, and new chunks go through the whole tokenizer. Ids are remembered.
     """
 
     def __init__(self, path: str):
@@ -73,8 +88,24 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = {chr(b): c for b, c in _byte_letters().items()}
         self.forget()
 
+    def _encode_new(self, items: list[str]) -> list[list[int]]:
+        words = {w: None for w in items if _WORD.fullmatch(w) and not _OTHER.search(w) and w == w.lower()}
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for w in words:
+            mapped = w if w.isascii() else "".join([letters[c] for c in w.encode().decode("latin-1")])
+            words[w] = [t.id for t in tokenize(mapped)]
+        rest = [w for w in items if w not in words]
+        coded = dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))) if rest else {}
+        return [words[w] if w in words else coded[w] for w in items]
+
+    def _split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        return text.replace("\n", " ").split(" ") if _OTHER.search(text) else _WORD.findall(text.lower())
+
     def forget(self) -> None:
         self.memory: dict[str, int] = {"": 0}
         self.ids, self.start, self.length = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -83,11 +114,11 @@ class ChunkTokenizer:
         """Flat ids of the texts in order, and the number of ids of each."""
         if len(self.memory) > CACHE_CHUNKS:
             self.forget()
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [self._split(t) for t in texts]
         memory = self.memory
         new = list(set().union(*split).difference(memory))
         if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            coded = self._encode_new(new)
             counts = np.fromiter(map(len, coded), np.int64, len(coded))
             memory.update(zip(new, range(len(memory), len(memory) + len(new))))
             self.start = np.r_[self.start, len(self.ids) + np.cumsum(counts) - counts]
