@@ -210,7 +210,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> D
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("double").alias("_k"))
     cuts = sorted(set(known.approxQuantile("_k", [i / n for i in range(1, n)], 1 / (4 * n))))
-    splits = [-float("inf"), *[c for c in cuts if c not in (float("inf"), -float("inf"))], float("inf")]
+    cuts = [c for c in cuts if abs(c) != float("inf")] or [0.0]
+    splits = [-float("inf"), *cuts, float("inf")]
     last = len(splits) - 2  # the range of the largest keys comes first, null keys after all
     keyed = rows.withColumn("_k", F.col(key).cast("double"))
     cut = Bucketizer(splits=splits, inputCol="_k", outputCol="_range", handleInvalid="keep")
