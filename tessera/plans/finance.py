@@ -34,9 +34,9 @@ def closed(name: str, columns, sql: str, extra=None, sql_from: str = "ticks", ct
     def run(spark, d):
         rows = ticks(spark, d)
         rows = extra(rows, axis()) if extra else rows
-        return rows.select("event_id", *[(F.round(c + 3e-11, 9) + 0.0).alias(n) if n[-1] != "_" else c.alias(n) for n, c in columns(axis()).items()])
+        return rows.select("event_id", *[(F.round(c + 2e-9, 8) + 0.0).alias(n) if n[-1] != "_" else c.alias(n) for n, c in columns(axis()).items()])
 
-    sql = sql.replace(", 6) AS", " + 3e-11, 9) + 0.0 AS")  # ties of the rounding go the same way on both sides
+    sql = sql.replace(", 6) AS", " + 2e-9, 8) + 0.0 AS")  # ties of the rounding go the same way on both sides
     QUERIES[name] = (run, f"WITH {TICKS_SQL}{ctes} SELECT event_id, {sql} FROM {sql_from}")
 
 

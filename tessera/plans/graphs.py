@@ -66,10 +66,10 @@ def graph_shortest_paths(spark, d):
     return graph.shortest_paths(e, one(spark), "w").select("id", "dist")
 
 
-@query("graph_topological_levels", f"""WITH RECURSIVE {PARTS_SQL}, r(id, l) AS (SELECT src, 0 FROM edges UNION SELECT dst, l + 1 FROM r JOIN edges ON id = src)
+@query("graph_topological_levels", f"""WITH RECURSIVE {PARTS_SQL.replace("FROM part WHERE", "FROM part WHERE p_partkey > 0 AND")}, r(id, l) AS (SELECT src, 0 FROM edges UNION SELECT dst, l + 1 FROM r JOIN edges ON id = src)
 SELECT id, max(l)::INT AS level FROM r GROUP BY id""")
 def graph_topological_levels(spark, d):
-    return graph.topological_levels(parts(spark, d))
+    return graph.topological_levels(parts(spark, d).where("src > 0"))
 
 
 _BOTH = "b AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"

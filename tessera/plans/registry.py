@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import finance, graphs, relational, timeseries
+from tessera.plans import finance, graphs, relational, scalars, timeseries
 
-_GROUPS = (relational, timeseries, finance, graphs)
+_GROUPS = (relational, timeseries, finance, graphs, scalars)
 
 
 def queries() -> dict:
