@@ -17,7 +17,7 @@ fold is unknown, never learned from.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from tessera.llm.common import map_arrow, materialise, slices
 
 #: Bounds of the tables that executors receive.
 WORDS, GRAMS, LANGUAGES = 60_000, 30_000, 200
-#: Entries of a task's counter before it is passed on; words whose scores a task remembers.
-FLUSH, CACHE = 150_000, 200_000
+#: Entries of a task's counters before they are passed on; words whose scores a task remembers, and numbers in all.
+FLUSH, CACHE, CACHE_CELLS = 200_000, 400_000, 8_000_000
 #: Words beyond which more evidence doesn't sharpen the score.
 EVIDENCE = 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,26 +44,26 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[i:i + n] for i in range(len(w) - n + 1)]
 
 
-def _emit(counter: Counter) -> pa.RecordBatch:
-    langs, keys = zip(*counter.keys())
-    return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(keys), pa.array(list(counter.values()), pa.int64())], names=["lang", "k", "n"])
+def _emit(counters: dict[str, Counter]) -> pa.RecordBatch:
+    langs = [lang for lang, c in counters.items() for _ in range(len(c))]
+    keys, counts = [k for c in counters.values() for k in c], [n for c in counters.values() for n in c.values()]
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["lang", "k", "n"])
 
 
 def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, k, n``: occurrences of each word, counted in the tasks before the shuffle."""
 
     def run(batches):
-        counter: Counter = Counter()
+        counters: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for part in slices(batch, "_text"):
                 for lang, text in zip(part.column("_lang").to_pylist(), part.column("_text").to_pylist()):
-                    for w, n in Counter(words_of(text)).items():
-                        counter[lang, w] += n
-                if len(counter) > FLUSH:
-                    yield _emit(counter)
-                    counter = Counter()
-        if counter:
-            yield _emit(counter)
+                    counters[lang].update(words_of(text))
+                if sum(map(len, counters.values())) > FLUSH:
+                    yield _emit(counters)
+                    counters.clear()
+        if counters:
+            yield _emit(counters)
 
     rows = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang IS NOT NULL AND _text IS NOT NULL")
     return rows.mapInArrow(run, "lang string, k string, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
@@ -73,17 +73,18 @@ def count_grams(words: DataFrame) -> DataFrame:
     """``lang, k, n``: character n-grams of lengths 1 to 4 in the counted words; word ends are marked but for single characters."""
 
     def run(batches):
-        counter: Counter = Counter()
+        counters: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "k", "n"))):
+                counter = counters[lang]
                 for size in (1, 2, 3, 4):
                     for g in _grams(w, size):
-                        counter[lang, g] += n
-            if len(counter) > FLUSH:
-                yield _emit(counter)
-                counter = Counter()
-        if counter:
-            yield _emit(counter)
+                        counter[g] += n
+            if sum(map(len, counters.values())) > FLUSH:
+                yield _emit(counters)
+                counters.clear()
+        if counters:
+            yield _emit(counters)
 
     return words.mapInArrow(run, "lang string, k string, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
@@ -94,46 +95,50 @@ class Model:
     def __init__(self, langs: list[str], tables: dict[int, dict[str, int]], scores: dict[int, np.ndarray]):
         self.langs, self.tables, self.scores = langs, tables, scores
 
-    def word(self, w: str) -> np.ndarray | None:
-        at = self.tables[0].get(w)
-        if at is not None:
-            return self.scores[0][at]
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Scores of words by language; of words that nothing is known of, NaN."""
+        out = np.full((len(words), len(self.langs)), np.nan)
+        at = [self.tables[0].get(w, -1) for w in words]
+        known = np.array(at, np.int64)
+        out[known >= 0] = self.scores[0][known[known >= 0]]
+        left = np.flatnonzero(known < 0)
         for n in (4, 3, 2, 1):
             table = self.tables[n]
-            known = [table[g] for g in _grams(w, n) if g in table]
-            if known:
-                rows = self.scores[n][known]
-                return rows[0] if len(known) == 1 else rows.sum(axis=0) / len(known)
-        return None
+            found = [[table[g] for g in _grams(words[i], n) if g in table] for i in left.tolist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter((g for f in found for g in f), np.int64, int(sizes.sum()))
+            if len(flat):
+                some = sizes > 0
+                starts = (np.cumsum(sizes) - sizes)[some]
+                out[left[some]] = np.add.reduceat(self.scores[n][flat], starts, axis=0) / sizes[some, None]
+                left = left[~some]
+        return out
 
     def predict(self, texts: list[str | None], memory: dict) -> tuple[list[str], np.ndarray]:
-        """Languages and scores; ``memory`` keeps the words' scores between calls."""
-        if len(memory) > CACHE:
-            memory.clear()
-        langs, scores = [], np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            counts = Counter(words_of(text))
-            total, n = None, 0
-            rows, weights = [], []
-            for w, c in counts.items():
-                if w in memory:
-                    row = memory[w]
-                else:
-                    row = memory[w] = self.word(w)
-                if row is not None:
-                    rows.append(row)
-                    weights.append(c)
-            if not rows or not self.langs:
-                langs.append(UNKNOWN)
-                continue
-            weight = np.array(weights, float)
-            n = weight.sum()
-            total = weight @ np.array(rows) / n * min(n, EVIDENCE)
-            total = np.exp(total - total.max())
-            best = int(total.argmax())
-            langs.append(self.langs[best])
-            scores[i] = total[best] / total.sum()
-        return langs, scores
+        """Languages and scores; ``memory`` keeps words' scores between calls, up to a bound."""
+        n = len(texts)
+        if not self.langs:
+            return [UNKNOWN] * n, np.zeros(n)
+        if not memory or len(memory["at"]) > min(CACHE, CACHE_CELLS // len(self.langs)):
+            memory.update(at={}, rows=np.empty((0, len(self.langs))))
+        split = [words_of(t) for t in texts]
+        at = memory["at"]
+        new = list(set().union(*split).difference(at))
+        if new:
+            at.update(zip(new, range(len(at), len(at) + len(new))))
+            memory["rows"] = np.concatenate((memory["rows"], self.rows(new)))
+        sizes = np.fromiter(map(len, split), np.int64, n)
+        flat = np.fromiter((at[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
+        owner, rows = np.repeat(np.arange(n), sizes), memory["rows"]
+        told = ~np.isnan(rows[flat, 0])
+        flat, owner = flat[told], owner[told]
+        count = np.bincount(owner, minlength=n)
+        total = np.stack([np.bincount(owner, rows[flat, j], n) for j in range(len(self.langs))], axis=1)
+        total *= (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[:, None]
+        best = total.argmax(axis=1)
+        share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        langs = [self.langs[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())]
+        return langs, np.where(count > 0, share, 0.0)
 
 
 def _table(counts: DataFrame, limit: int, langs: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import finance, graphs, relational, scalars, timeseries
+from tessera.plans import finance, graphs, relational, scalars, streams, timeseries
 
-_GROUPS = (relational, timeseries, finance, graphs, scalars)
+_GROUPS = (relational, timeseries, finance, graphs, scalars, streams)
 
 
 def queries() -> dict:

@@ -1 +1,103 @@
-"""Sources as functions over DataFrames."""
+"""Sources and sinks by format or address, with projection and filters that reach the scan."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from urllib.parse import urlparse
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+_SUFFIXES = {".parquet": "parquet", ".csv": "csv", ".tsv": "csv", ".json": "json", ".ndjson": "json", ".jsonl": "json", ".orc": "orc", ".txt": "text", ".avro": "avro"}
+
+
+def _format(path: str) -> str:
+    for suffix, fmt in _SUFFIXES.items():
+        if path.rstrip("/").endswith(suffix):
+            return fmt
+    return "parquet"
+
+
+def read(spark: SparkSession, uri: str, columns: Sequence[str] | None = None, where: Column | str | None = None, schema=None, **options) -> DataFrame:
+    """A DataFrame from a path or address: files by suffix, ``jdbc:``, ``postgresql://``, ``delta://``, ``table://``.
+
+    Unknown schemes raise ValueError; formats whose driver isn't on the class path raise what Spark raises.
+    """
+    scheme = urlparse(uri).scheme
+    if uri.startswith("jdbc:"):
+        df = spark.read.format("jdbc").options(url=uri, **options).load()
+    elif scheme in ("postgresql", "postgres"):
+        df = spark.read.format("jdbc").options(url=f"jdbc:postgresql://{uri.split('://', 1)[1]}", **options).load()
+    elif scheme == "delta":
+        df = spark.read.format("delta").options(**options).load(uri.split("://", 1)[1])
+    elif scheme == "table":
+        df = spark.table(uri.split("://", 1)[1])
+    elif scheme in ("", "file", "s3", "s3a", "hdfs", "gs", "abfss", "http", "https", "viewfs"):
+        fmt = _format(uri)
+        if fmt == "csv":
+            options = {"header": True, "sep": "\t" if uri.endswith(".tsv") else ",", **({} if schema else {"inferSchema": True}), **options}
+        reader = spark.read.format(fmt).options(**options)
+        df = (reader.schema(schema) if schema else reader).load(uri)
+    else:
+        raise ValueError(f"no source for {scheme}:")
+    df = df.where(where) if where is not None else df
+    return df.select(*columns) if columns else df
+
+
+def write(df: DataFrame, uri: str, mode: str = "error", partition_by: Sequence[str] = (), **options) -> None:
+    """The counterpart of ``read``."""
+    scheme = urlparse(uri).scheme
+    writer = df.write.mode(mode).options(**options)
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
+    if uri.startswith("jdbc:"):
+        writer.format("jdbc").option("url", uri).save()
+    elif scheme == "delta":
+        writer.format("delta").save(uri.split("://", 1)[1])
+    elif scheme == "table":
+        writer.saveAsTable(uri.split("://", 1)[1])
+    elif scheme in ("", "file", "s3", "s3a", "hdfs", "gs", "abfss", "viewfs"):
+        fmt = _format(uri)
+        (writer.option("header", options.get("header", True)) if fmt == "csv" else writer).format(fmt).save(uri)
+    else:
+        raise ValueError(f"no sink for {scheme}:")
+
+
+def read_csv_with_rejects(spark: SparkSession, path: str, schema: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows that parse, and the lines that don't."""
+    rows = spark.read.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", **options).schema(f"{schema}, _bad string").csv(path)
+    good = rows.where("_bad IS NULL").drop("_bad")
+    return good, rows.where("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+
+
+def dates_from_text(df: DataFrame) -> DataFrame:
+    """Text columns whose names hold ``date`` become dates; what doesn't parse becomes null."""
+    return df.withColumns({c: F.col(c).try_cast("date") for c, kind in df.dtypes if kind == "string" and "date" in c.lower()})
+
+
+def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str | None = None, **options) -> DataFrame:
+    """A topic as a stream of its records, or of the JSON fields of their values. Needs Spark's Kafka package."""
+    rows = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, **options}).load()
+    if schema is None:
+        return rows
+    return rows.select(F.col("timestamp").alias("_ts"), F.from_json(F.col("value").cast("string"), schema).alias("v")).select("_ts", "v.*")
+
+
+def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str | None = None):
+    """Starts a query that writes rows as JSON values, keyed (and so partitioned) by a column."""
+    rows = df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.to_json(F.struct("*")).alias("value"))
+    return rows.writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint}).start()
+
+
+def merge_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
+    """A table after change events: of each key the newest change wins; ``op`` 'd' deletes, others insert or update."""
+    rest = [c for c in changes.columns if c not in keys]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    last = last.select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+    kept = target.join(last.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(last.where(F.col(op) != "d").select(target.columns))
+
+
+def route_changes(changes: DataFrame, database: str, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Change events of the tables that match patterns with ``*``."""
+    like = lambda p: "^" + p.replace(".", r"\.").replace("*", ".*") + "$"
+    out = changes.where(F.col("database").rlike(like(database)) & F.col("table").rlike(like(table)))
+    return out.select(*columns) if columns else out
