@@ -81,3 +81,16 @@ def sink_round_trip(spark, d):
     sources.write(sources.read(spark, f"{base}/n.csv", schema=nation.schema), f"{base}/n.json")
     sources.write(sources.read(spark, f"{base}/n.json", schema=nation.schema), f"{base}/n.parquet", partition_by=["n_regionkey"])
     return sources.read(spark, f"{base}/n.parquet", columns=["n_nationkey", "n_name", "n_regionkey"], where="n_regionkey IN (1, 3)")
+
+
+@query("stream_keyed_state", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
+def stream_keyed_state(spark, d):
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rocks)
+    try:
+        out = streaming.drain(streaming.keyed_fold(_events(spark, d).select("event_type", "value"), "event_type", "value"), "update")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    last = out.groupBy("event_type").agg(F.max_by(F.struct("n", "total", "low", "high"), "batch").alias("r"))
+    return last.select("event_type", "r.n", F.round("r.total", 4).alias("total"), "r.low", "r.high")

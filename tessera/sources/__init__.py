@@ -62,10 +62,10 @@ def write(df: DataFrame, uri: str, mode: str = "error", partition_by: Sequence[s
 
 
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: str, **options) -> tuple[DataFrame, DataFrame]:
-    """Rows that parse, and the lines that don't."""
+    """Rows that parse, and those that don't: the whole ``line`` beside what could be parsed of it."""
     rows = spark.read.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", **options).schema(f"{schema}, _bad string").csv(path)
     good = rows.where("_bad IS NULL").drop("_bad")
-    return good, rows.where("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+    return good, rows.where("_bad IS NOT NULL").withColumnRenamed("_bad", "line")
 
 
 def dates_from_text(df: DataFrame) -> DataFrame:
