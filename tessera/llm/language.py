@@ -133,7 +133,7 @@ class Model:
         told = ~np.isnan(rows[flat, 0])
         flat, owner = flat[told], owner[told]
         count = np.bincount(owner, minlength=n)
-        total = np.stack([np.bincount(owner, rows[flat, j], n) for j in range(len(self.langs))], axis=1)
+        total = np.stack([np.bincount(owner, rows[flat, j], n) for j in range(len(self.langs))], axis=1).astype(float)  # counts are whole if there are none
         total *= (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[:, None]
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
