@@ -240,6 +240,13 @@ def match_path(edges: DataFrame, names: Sequence[str], where: Sequence[Column |
     return out.select(*names)
 
 
+def diamonds(edges: DataFrame) -> DataFrame:
+    """``a, b, c, d`` with edges a-b, a-c, b-d and c-d, and b before c: two-edge paths joined on both of their ends."""
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    two = e.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(e.select(F.col("src").alias("m"), F.col("dst").alias("d")), "m")
+    return two.withColumnRenamed("m", "b").join(two.withColumnRenamed("m", "c"), ["a", "d"]).where("b < c").select("a", "b", "c", "d")
+
+
 def variable_paths(edges: DataFrame, sources: DataFrame, low: int, high: int) -> DataFrame:
     """``start, finish, hops, path`` of simple paths of ``low`` to ``high`` edges from the sources."""
     e = edges.select("src", "dst").distinct()

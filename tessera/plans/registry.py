@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import finance, graphs, relational, scalars, streams, timeseries
+from tessera.plans import finance, graphs, relational, scalars, statements, streams, timeseries
 
-_GROUPS = (relational, timeseries, finance, graphs, scalars, streams)
+_GROUPS = (relational, timeseries, finance, graphs, scalars, streams, statements)
 
 
 def queries() -> dict:
