@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from tessera.llm.common import slices
 
 #: Sequences in a pool: bounds a task's memory; pools don't depend on the size of the table.
 POOL_SEQUENCES = 512
-#: Words or chunks of text whose ids a task remembers; the memory is emptied when full.
-CACHE_CHUNKS = 300_000
+#: Words or chunks of text whose ids a Python worker remembers; the memory is emptied when full.
+CACHE_CHUNKS = 600_000
 #: Attention cost of a token pair against the linear cost of a token.
 QUADRATIC = 1 / 1024
 
@@ -76,6 +78,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first looked up; ``new`` lists those not encoded yet."""
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = at = len(self)
+        return at
+
+
 class ChunkTokenizer:
     """Exact ids of whole texts by a tokenizer of lower-case words that never hold white space.
 
@@ -91,41 +102,46 @@ class ChunkTokenizer:
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
         self.forget()
 
-    def _encode_new(self, items: list[str]) -> list[list[int]]:
-        words = {w: None for w in items if _WORD.fullmatch(w) and not _OTHER.search(w) and w == w.lower()}
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of plain texts, by the model alone."""
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        for w in words:
-            mapped = w if w.isascii() else "".join([letters[c] for c in w.encode().decode("latin-1")])
-            words[w] = [t.id for t in tokenize(mapped)]
-        rest = [w for w in items if w not in words]
-        coded = dict(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))) if rest else {}
-        return [words[w] if w in words else coded[w] for w in items]
-
-    def _split(self, text: str | None) -> list[str]:
+        mapped = [w if w.isascii() else "".join([letters[c] for c in w.encode().decode("latin-1")]) for w in words]
+        return [[t.id for t in tokenize(w)] for w in mapped]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
+
+    def _split(self, text: str | None) -> tuple[list[str], bool]:
+        """Words of a plain text, or chunks of any other; and which they are."""
         if not text:
-            return []
-        return text.replace("\n", " ").split(" ") if _OTHER.search(text) else _WORD.findall(text.lower())
+            return [], True
+        low = text.lower()
+        if _OTHER.search(text) or not text.isascii() and _OTHER.search(low):
+            return text.replace("\n", " ").split(" "), False
+        return _WORD.findall(low), True
 
     def forget(self) -> None:
-        self.memory: dict[str, int] = {"": 0}
+        self.memory = _Numbers({"": 0})
         self.ids, self.start, self.length = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts in order, and the number of ids of each."""
         if len(self.memory) > CACHE_CHUNKS:
             self.forget()
-        split = [self._split(t) for t in texts]
-        memory = self.memory
-        new = list(set().union(*split).difference(memory))
-        if new:
-            coded = self._encode_new(new)
+        memory, found, coded = self.memory, [], []
+        for text in texts:
+            parts, plain = self._split(text)
+            memory.new = []
+            found.append(np.fromiter(map(memory.__getitem__, parts), np.int64, len(parts)))
+            if memory.new:
+                coded += (self._encode_words if plain else self._encode_chunks)(memory.new)
+        if coded:
             counts = np.fromiter(map(len, coded), np.int64, len(coded))
-            memory.update(zip(new, range(len(memory), len(memory) + len(new))))
             self.start = np.r_[self.start, len(self.ids) + np.cumsum(counts) - counts]
             self.length = np.r_[self.length, counts]
-            self.ids = np.r_[self.ids, np.fromiter((i for ids in coded for i in ids), np.uint32, int(counts.sum()))]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((memory[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
+            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, int(counts.sum()))]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.concatenate(found) if found else np.empty(0, np.int64)
         lengths = self.length[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -133,6 +149,12 @@ class ChunkTokenizer:
         return flat, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(sizes)]])
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks of a Python worker: what it remembers only saves time."""
+    return ChunkTokenizer(path)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, key: str = "doc_id",
          text_col: str = "text", quadratic: float = QUADRATIC) -> DataFrame:
     """One row per piece: key, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
@@ -142,7 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     names = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         base = TaskContext.get().partitionId() << 40
         keys, parts, counts, held = [], [], [], 0
 
