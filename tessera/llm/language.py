@@ -144,6 +144,14 @@ class Model:
 def _table(counts: DataFrame, limit: int, langs: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """The most frequent keys and their smoothed log frequencies by language."""
     top = counts.groupBy("k").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    # Each task sends its own top rows to the driver, so those that can't be among the first are dropped beforehand:
+    # of totals in steps of a twelfth or so, the steps down to the one that holds the last row wanted.
+    top = materialise(top.withColumn("step", F.floor(F.log2("total") * 8)), "totals")
+    held, least = 0, None
+    for r in sorted(top.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        if held < limit:
+            held, least = held + r["n"], r["step"]
+    top = top.where(F.col("step") >= least) if least is not None else top
     rows = top.orderBy(F.col("total").desc(), "k").limit(limit).select("k", "by").collect()
     table = {r["k"]: i for i, r in enumerate(rows)}
     n = np.array([[r["by"].get(lang, 0) for lang in langs] for r in rows], float).reshape(len(rows), len(langs))
