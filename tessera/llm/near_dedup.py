@@ -8,13 +8,16 @@ region are candidates of one another; a region that was too crowded adds a star
 
 Candidates are confirmed on full sets in two rounds: first each representative's neighbours of the longest common
 prefixes (those met in the most orders), which joins most copies; then every other candidate pair whose
-members aren't yet connected. So no pair between copies already connected is ever compared, and
-nothing is quadratic in a group's size. Pairs whose signatures agree far less than the threshold (five standard
+members aren't yet connected. So no pair between copies already connected is ever compared. Pairs whose signatures agree far less than the threshold (five standard
 deviations) are dropped before their sets are read.
 
 At 0.75 a pair misses all orders with probability (1 - 0.75 ** 3) ** TREES, about 2e-6. In regions that are cut deeper a pair
 needs a longer common prefix; there the stars and the many orders connect tight groups.
 
+A crowd is what regions still crowded at ``DEPTH`` hold, joined where they share members. If the two rounds leave it in several
+components (many texts of one template), all pairs between different components are counted on full sets, block by block. This is exact,
+and quadratic in what the rounds left apart; pairs within a component of more than a block are never counted.
+
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer than five words
 are one shingle; a null id has a null component and is kept; rows that repeat an id and text are members each.
 """
@@ -33,6 +36,8 @@ from tessera.llm.components import connected_components
 
 SHINGLE = 5
 TREES, DEPTH, SHALLOW, REGION = 24, 6, 3, 24
+#: Documents, and bytes of their sets, that a block of a crowd holds on average; columns of a product.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4096
 #: Word hashes that a task remembers.
 CACHE = 300_000
 _HASHES = TREES * DEPTH
@@ -100,8 +105,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, sig binary", "text")
 
 
-def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of regions of at most REGION (``region, label, rep``), and stars of the crowded ones (``a, b``).
+def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Members of regions of at most REGION (``region, label, rep``), stars of the crowded ones (``a, b``), and
+    members of those crowded at the last depth (``region, rep``), if there are such.
 
     The first pivot of a crowded region is its most central member: the one whose regions, over all orders, hold the
     most members. It recurs from order to order, so a group's members meet the same few pivots.
@@ -109,7 +115,7 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     width = 2 * DEPTH
     rows = reps.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select("rep", "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("label"))
-    small, stars, central = [], [], None
+    small, stars, central, crowd = [], [], None, None
     for depth in range(SHALLOW, DEPTH + 1):
         rows = rows.withColumn("region", F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * depth})")))
         count = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
@@ -118,6 +124,8 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = found.where(F.col("n") > REGION)
         if rows.isEmpty():
             break
+        if depth == DEPTH:
+            crowd = rows.select("region", "rep")
         if central is None:
             central = found.groupBy("rep").agg(F.sum("n").alias("central"))
             rows = rows.join(central, "rep")
@@ -139,7 +147,7 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = star.groupBy("rep").agg(F.flatten(F.collect_list("b")).alias("bs"))
     counted = F.expr("transform(array_distinct(bs), b -> struct(b, size(filter(bs, x -> x = b)) AS n))")
     star = star.select(F.col("rep").alias("a"), F.explode(counted).alias("e")).select("a", "e.b", F.col("e.n").cast("long").alias("n"))
-    return members, materialise(star.where("a <> b"), "stars")
+    return members, materialise(star.where("a <> b"), "stars"), crowd
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -197,6 +205,83 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(links.distinct(), "links")  # rows that repeat an id give a pair twice
 
 
+def _joining(rows: pa.Table, percent: int) -> pa.Table:
+    """Links that join different components of one pair of blocks (or of one block): a forest of them, each exact."""
+    rep, part, right = (rows.column(c).to_numpy() for c in ("rep", "c", "right"))
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for chunk in rows.column("s").chunks for v in chunk]
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[count[column[order]] > 1]
+    owner, column = owner[order], column[order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0)
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    right = right if len(right) else left
+    place = np.zeros(len(sets), np.int64)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (k, k + COLUMNS))
+        sides = []
+        for side in (left, right):
+            place[:] = -1
+            place[side] = np.arange(len(side))
+            at = place[owner[a:b]]
+            m = np.zeros((len(side), COLUMNS), np.float32)
+            m[at[at >= 0], column[a:b][at >= 0] - k] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for i, row in zip(left.tolist(), shared):
+        both = row.astype(np.int64)
+        for j in right[(100 * both >= percent * (size[i] + size[right] - both)) & (part[i] != part[right])].tolist():
+            x, y = root(part[i]), root(part[j])
+            if x != y:
+                parent[x] = y
+                found.append((rep[i], rep[j]))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between different components of a crowd; nothing where each region is in one component."""
+    part = crowd.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", F.coalesce("component", "rep").alias("c"))
+    part = materialise(part, "crowd")
+    mixed = part.groupBy("region").agg(F.min("rep").alias("head"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+    mixed = materialise(mixed.select("region", "head"), "mixed")
+    if mixed.isEmpty():
+        return None
+    left = part.join(mixed, "region")
+    groups = connected_components(left.select(F.col("rep").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "crowd")
+    rows = groups.withColumnRenamed("node", "rep").join(left.select("rep", "c").distinct(), "rep")
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").distinct()
+    rows = materialise(rows.select("crowd", "c", "rep", "s"), "crowd-sets")
+
+    # Components of more than a block have blocks of their own, the others share some.
+    units = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("s")) / BLOCK_BYTES).alias("units")
+    parts = rows.groupBy("crowd", "c").agg(units)
+    parts = materialise(parts.withColumn("own", F.when(F.col("units") > 1, F.col("c").cast("string")).otherwise("")), "crowd-parts")
+    counts = parts.groupBy("crowd", "own").agg(F.ceil(F.sum("units")).cast("long").alias("k"))
+    blocks = counts.withColumn("j", F.explode(F.expr("sequence(0L, k - 1)"))).select("crowd", "own", F.xxhash64("crowd", "own", "j").alias("block"))
+    blocks = materialise(blocks, "crowd-blocks")
+    other = blocks.select("crowd", F.col("own").alias("own_b"), F.col("block").alias("b"))
+    pairs = blocks.withColumnRenamed("block", "a").join(other, "crowd").where("a <= b AND (own <> own_b OR own = '')")
+    pairs = pairs.withColumn("pair", F.xxhash64("crowd", "a", "b"))
+    sides = pairs.select("pair", F.col("a").alias("block"), F.lit(False).alias("right"))
+    sides = sides.union(pairs.where("a <> b").select("pair", F.col("b").alias("block"), F.lit(True).alias("right")))
+    rows = rows.join(parts.drop("units"), ["crowd", "c"]).join(counts, ["crowd", "own"])
+    rows = rows.withColumn("block", F.xxhash64("crowd", "own", F.pmod(F.xxhash64("rep"), "k")))
+    rows = rows.join(sides, "block").select("pair", "right", "rep", "c", "s")
+    return materialise(rows.groupBy("pair").applyInArrow(lambda t: _joining(t, percent), "a long, b long"), "crowd-links")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row: the connected components of documents
     whose sets' shared part is at least ``percent`` hundredths of their union."""
@@ -204,7 +289,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     sketches = materialise(_sketches(docs), "sketches")
     known = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
-    members, stars = _regions(reps)
+    members, stars, crowd = _regions(reps)
 
     # Round 1: for each representative the two partners that it meets in the most orders.
     array = F.sort_array(F.collect_list(F.struct("label", "rep")))
@@ -233,6 +318,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     second = _pairs(inner.union(outer)).join(first, ["a", "b"], "left_anti")
     more = _confirm(_likely(second, reps, percent / 100), sets, percent)
     found = connected_components(links.union(more))
+    joining = _crowd_links(crowd, found, sets, percent) if crowd is not None else None
+    if joining is not None:
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joining))
 
     classes = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))

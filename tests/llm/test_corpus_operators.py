@@ -187,6 +187,23 @@ def test_near_duplicates_equal_brute_force(spark, edge, empty):
     assert [r.kept for r in done if r.doc_id is None] == [True] and near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_a_template_crowd(spark, monkeypatch):
+    """Different texts of one template (likeness about 0.7) with near copies among them that no pivot links."""
+    rng = np.random.default_rng(21)
+    own = lambda n: [f"o{x}" for x in rng.integers(0, 1 << 40, n)]
+    template, texts = [f"t{i}" for i in range(86)], {}
+    for i in range(700):
+        tail = own(18)
+        texts[2 * i] = " ".join(template + tail)
+        if i % 7 == 0:
+            texts[2 * i + 1] = " ".join(template + tail[:4] + own(14))
+    monkeypatch.setattr(near_dedup, "BLOCK", 200, raising=False)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 512, raising=False)
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = _components(texts)
+    assert len(set(want.values())) == 700 and {r.doc_id: r.component_id for r in out} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (5, 5), (100, 102)]
     out = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
