@@ -5,14 +5,14 @@ after a title. Each gets a surrogate of its own kind, derived from a secret key
 so one entity has one surrogate everywhere (coreference) while separators, case, script, gender of names, number of
 digits, issuer digit and Luhn validity of cards stay as they were.
 
-Collision check: for each kind, every entity of the corpus proposes ``ATTEMPTS`` surrogates. A surrogate belongs
-to its first claimant and never to a value that occurs in the corpus; an entity takes its first own one. So distinct
-entities have distinct surrogates. Only entities whose first proposal is not theirs (a few) are looked up, by the key of
+Collision check: for each kind, every entity of the corpus proposes a surrogate. It belongs to its first claimant
+and never to a value that occurs in the corpus; those left propose again, round by round, until none is left. So distinct
+entities have distinct surrogates. Names grow by syllables from round to round, and secrets by characters, so they don't run out. Kinds whose form
+bounds their number (IPv4 addresses, short numbers) can run out: that raises an error. Only entities whose first proposal is not theirs (a few) are looked up, by the key of
 the rows that hold them; the lookup is written first, so Spark broadcasts it only if its size allows.
 
 Defined results: null text stays null, text without entities is unchanged; equal texts get equal results whatever their key;
-rows that repeat a key, and null keys, are handled; other columns stay as they are, whatever their names. Should all
-proposals of an entity be taken, its last one is used, and distinctness isn't promised for it.
+rows that repeat a key, and null keys, are handled; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import free_name, materialise
 
-ATTEMPTS = 4
+#: Rounds after which a kind of bounded form counts as run out; each settles most of what is left, so few are needed.
+ROUNDS = 200
 
 # Titles by gender, the stems and endings that make names, alphabets.
 _MALE = "Mr|Herr|Monsieur|Señor|господин|г-н|Sr"
@@ -156,8 +157,18 @@ def _digits(x: Column, seed: Column, keep: Column) -> Column:
     return _each(x, lambda c, i: F.when(c.rlike("[0-9]") & (rank(i) > keep), (_draw(seed, rank(i)) % 10).cast("string")).otherwise(c))
 
 
+def _syllables(script: str, seed: Column, attempt: Column) -> Column:
+    def one(k):
+        return F.concat(F.lower(_pick(_STEMS[script], _draw(seed, 2 * k + 20))), _pick(_MIDDLE[script], _draw(seed, 2 * k + 21)))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(attempt / 2).cast("int"))), one), "")
+
+
 def _name(x: Column, seed: Column, attempt: Column, key: str) -> Column:
-    """Title kept; given names by gender and script, the last word a family name that depends on that word alone."""
+    """Title kept; given names by gender and script, the last word a family name that depends on that word alone.
+
+    From the second attempt on, the first word gets a further syllable for each two attempts, so names don't run out.
+    """
     title = F.regexp_extract(x, rf"^({_TITLE}\s)", 1)
     words = F.split(F.regexp_replace(x, rf"^{_TITLE}\s", ""), " ")
     n = F.size(words)
@@ -170,7 +181,9 @@ def _name(x: Column, seed: Column, attempt: Column, key: str) -> Column:
             family = F.concat(_pick(_STEMS[script], _draw(family_seed, 1)), _pick(_MIDDLE[script], _draw(family_seed, 2)), _pick(_FAMILY[script], _draw(family_seed, 3)))
             given = {g: F.concat(_pick(_STEMS[script], _draw(seed, i * 2 + 4)), _pick(_GIVEN[script, g], _draw(seed, i * 2 + 5))) for g in "mf"}
             female = title.rlike(rf"^(?:{_FEMALE})\b") | (~title.rlike(rf"^(?:{_MALE})\b") & w.rlike("[aая]$"))
-            by_script[script] = F.when(i == n - 1, family).when(female, given["f"]).otherwise(given["m"])
+            whole = F.when(i == n - 1, family).when(female, given["f"]).otherwise(given["m"])
+            more = _syllables(script, seed, attempt)
+            by_script[script] = F.when((i == 0) & (attempt > 0), F.concat(F.initcap(more), F.lower(whole))).otherwise(whole)
         return F.when(w.rlike(r"\p{IsCyrillic}"), by_script["cyrillic"]).otherwise(by_script["latin"])
 
     return F.concat(title, F.array_join(F.transform(words, one), " "))
@@ -195,7 +208,8 @@ def _surrogate(x: Column, kind: Column, seed: Column, attempt: Column, key: str)
         .when(kind == "iban", _same_class(x, seed, 2)).when(kind == "card", _card(x, seed)).when(kind == "phone", _digits(x, seed, country))
         .when(kind == "name", _name(x, seed, attempt, key))
         .when(kind == "key", F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), seed, F.lit("\n-----END PRIVATE KEY-----")))
-        .when(x.rlike("^[0-9a-f]+$"), _hex(x, seed)).when(x.rlike("^[0-9A-F]+$"), F.upper(_hex(x, seed))).otherwise(_same_class(x, seed))
+        .when(x.rlike("^[0-9a-f]+$"), _hex(x, seed)).when(x.rlike("^[0-9A-F]+$"), F.upper(_hex(x, seed)))
+        .otherwise(F.concat(_same_class(x, seed), F.when(attempt >= 4, F.substring(seed, 101, 16)).otherwise("")))
     )
 
 
@@ -233,10 +247,17 @@ def _exceptions(found: DataFrame, key: str) -> DataFrame:
     first = materialise(_owners(_proposals(known.withColumn("attempt", F.lit(0)), key), [values]), "first-proposals")
     lost = known.join(first.select("kind", "normal"), ["kind", "normal"], "left_anti")
     lost = materialise(lost, "lost")  # few: those whose first proposal was taken
-    later = lost.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS - 1))))
-    later = _owners(_proposals(later, key), [values, first.select("kind", "s")])
-    later = later.groupBy("kind", "normal").agg(F.min("attempt").alias("attempt"))
-    return lost.select("kind", "normal").join(later, ["kind", "normal"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(ATTEMPTS - 1)))
+    taken, moved = [values, first.select("kind", "s")], lost.select("kind", "normal", F.lit(0).alias("attempt")).where("false")
+    for attempt in range(1, ROUNDS):
+        if lost.isEmpty():
+            return moved
+        won = materialise(_owners(_proposals(lost.withColumn("attempt", F.lit(attempt)), key), taken), "later-proposals")
+        taken.append(won.select("kind", "s"))
+        moved = moved.union(won.select("kind", "normal", "attempt"))
+        lost = materialise(lost.join(won.select("kind", "normal"), ["kind", "normal"], "left_anti"), "lost")
+    if lost.isEmpty():
+        return moved
+    raise ValueError(f"no surrogate is left for {lost.count()} entities of kinds {[r.kind for r in lost.select('kind').distinct().collect()]}")
 
 
 def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:

@@ -89,6 +89,17 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.text for r in out}) == 12_000
 
 
+def test_surrogates_of_many_names_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26 ** k % 26] for k in range(4)).capitalize()
+    rows = [(i, f"Mr. {word(i)} left") for i in range(7_000)] + [(7_000 + i, f"Frau {word(i)} Smith left") for i in range(600)]
+    rows.append((-1, "password: ________ left"))
+    out = surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    fresh = [r.text.split(" ", 1)[1] for r in out]
+    assert len(set(fresh)) == 7_601 and not set(fresh) & {t.split(" ", 1)[1] for _, t in rows}
+    assert len({r.text.split()[2] for r in out if r.doc_id >= 7_000}) == 1
+
+
 # ---- fingerprints -------------------------------------------------------------------------------
 
 def _pieces(text):
