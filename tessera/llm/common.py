@@ -16,10 +16,13 @@ SLICE_BYTES = 4 << 20
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is absent (tests, one machine), a temporary folder is used instead.
+    Where that setting is absent, a local session (tests, one machine) uses a temporary folder; on a cluster, whose
+    machines wouldn't share it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,6 +36,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of ``materialise`` results that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for file in df.inputFiles()[:1]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def without(df: DataFrame, name: str) -> list[str]:
+    """Columns of ``df`` but for one that differs from ``name`` at most in case: the one a new column replaces."""
+    return [c for c in df.columns if c.lower() != name.lower()]
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken, name = {c.lower() for c in df.columns}, f"_{base}"

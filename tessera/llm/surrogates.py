@@ -3,7 +3,7 @@
 One pattern finds entities: e-mail and IP addresses, telephone, card, social-security and IBAN numbers, secrets and names
 after a title. Each gets a surrogate of its own kind, derived from a secret key and the entity's normal form,
 so one entity has one surrogate everywhere (coreference) while separators, case, script, gender of names, number of
-digits, issuer digit and Luhn validity of cards stay as they were.
+digits, issuer digit and Luhn validity of cards stay as they were. Long numbers that no issuer's range or check digit marks as cards stay.
 
 Collision check: for each kind, every entity of the corpus proposes a surrogate. It belongs to its first claimant
 and never to a value that occurs in the corpus; those left propose again, round by round, until none is left. So distinct
@@ -23,6 +23,8 @@ from tessera.llm.common import free_name, materialise
 
 #: Rounds after which a kind of bounded form counts as run out; each settles most of what is left, so few are needed.
 ROUNDS = 200
+#: Rounds in which surrogates may not be values of the corpus.
+STRICT = 100
 
 # Titles by gender, the stems and endings that make names, alphabets.
 _MALE = "Mr|Herr|Monsieur|Señor|господин|г-н|Sr"
@@ -40,13 +42,15 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TITLE = (r"(?:(?:Mr|Mrs|Ms|Dr|Dra|Prof|Mme|Mlle|Sr|Sra)\.|Mrs|Mr|Miss|Herr|Frau|Monsieur|Madame|Mademoiselle|Señora|Señorita|Señor|"
           r"господин|госпожа|г-н|г-жа)")
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
-    "key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,8000}+-----END [A-Z ]{0,24}PRIVATE KEY-----",
-    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/=-]{8})(?:(?<=(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)"
-              r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_+/=-]{8,256}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{20,200}"
-              r"|xox[abprs]-[A-Za-z0-9-]{10,200}|(?=[0-9A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9_]))",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
+    "key": r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,]++|-(?!----))*+-----END [A-Z ]{0,24}PRIVATE KEY-----",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/=.-]{8})(?:(?<=(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)"
+              r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?:[A-Za-z0-9_+/=-]++|\.(?=[A-Za-z0-9_+/=-]))++|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+"
+              r"|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|[0-9a-f]{32,}+(?![A-Za-z0-9_])(?<=[0-9][0-9a-f]{0,31})"
+              r"|[0-9A-F]{32,}+(?![A-Za-z0-9_])(?<=[0-9][0-9A-F]{0,31}))",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,8}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+            r"|(?:[0-9A-Fa-f]{1,4}:){2,7}:))(?![\w:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
@@ -56,17 +60,22 @@ PATTERNS = {
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without any of these hold no entity: a cheap test, as most positions fail on one character.
-_HINT = rf"[0-9@=:]|-----BEGIN|AKIA|sk-|gh[pousr]_|xox|(?=[DFHMPSг])(?<!\p{{L}}){_TITLE}\s\p{{Lu}}"
+_HINT = rf"[0-9@=:]|-----BEGIN|AKIA|sk-|gh[pousr]_|xox|eyJ|(?=[DFHMPSг])(?<!\p{{L}}){_TITLE}\s\p{{Lu}}"
+
+
+def _is_card(digits: Column) -> Column:
+    """Whether digits are a card's: a known issuer range and a valid check digit."""
+    return digits.rlike("^(?:4|5[0-9]|2[2-7]|3[0-9]|6[0-9])") & (_luhn(digits) == 0)
 
 
 def _kind(x: Column) -> Column:
-    """Kind of a found entity, by its form."""
+    """Kind of a found entity, by its form; ``number`` is a long number that is no card's, and not personal."""
     return (
         F.when(x.contains("@"), "email").when(x.startswith("-----"), "key")
         .when(x.rlike(rf"^{_TITLE}\s\p{{Lu}}"), "name")
-        .when(x.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ipv4").when(x.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}"), "ipv6")
+        .when(x.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ipv4").when(x.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ipv6")
         .when(x.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(x.rlike("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
-        .when(x.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"), "card").when(x.rlike(r"^[+(]?[0-9][0-9 ().+-]*$"), "phone").otherwise("secret")
+        .when(x.rlike("^[0-9](?:[ -]?[0-9]){12,18}$"), F.when(_is_card(F.regexp_replace(x, "[^0-9]", "")), "card").otherwise("number")).when(x.rlike(r"^[+(]?[0-9][0-9 ().+-]*$"), "phone").otherwise("secret")
     )
 
 
@@ -135,15 +144,14 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(x: Column, seed: Column) -> Column:
-    """Issuer digit, separators and Luhn validity are kept."""
+    """Issuer digit and separators are kept, and the check digit is valid."""
 
     def renewed(digits):
         middle = F.substring(digits, F.lit(2), F.char_length(digits) - 2)
         return _let(F.concat(F.substring(digits, F.lit(1), F.lit(1)), _each(middle, lambda c, i: (_draw(seed, i) % 10).cast("string"))), lambda body: closed(digits, body))
 
     def closed(digits, body):
-        return _let((10 - _luhn(F.concat(body, F.lit("0")))) % 10, lambda valid: F.concat(
-            body, F.when(_luhn(digits) == 0, valid).otherwise((valid + 1 + _draw(seed, 40) % 9) % 10).cast("string")))
+        return F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
 
     # The n-th digit of the number goes where its n-th digit stood.
     rank = lambda i: F.char_length(F.regexp_replace(F.substring(x, F.lit(1), i.cast("int")), "[^0-9]", ""))
@@ -199,17 +207,20 @@ def _surrogate(x: Column, kind: Column, seed: Column, attempt: Column, key: str)
     local, host = F.split_part(x, F.lit("@"), F.lit(1)), F.split_part(x, F.lit("@"), F.lit(2))
     top = _pick(["com", "net", "org"], _draw(seed, 60))
     domain = F.concat(*(_letter(_LOWER["latin"], _draw(seed, 50 + i)) for i in range(7)), F.lit(".example."), top)
+    prefix = F.regexp_extract(x, "^(?:AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|)", 0)  # tells the kind of a secret
     country = F.char_length(F.regexp_replace(F.regexp_extract(x, r"^(\+[0-9]{1,3})[ .(-]", 1), "[^0-9]", ""))
     return (
         F.when(kind == "email", F.concat(_same_class(local, seed), F.lit("@"), F.when((host == F.upper(host)) & host.rlike("[A-Z]"), F.upper(domain)).otherwise(domain)))
-        .when(kind == "ipv4", F.concat_ws(".", F.lit("10"), *(_draw(seed, i).cast("string") for i in (1, 2, 3))))
-        .when(kind == "ipv6", _hex(x, seed))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_digits(x, seed, F.lit(1)), 2, 10)))
+        .when(kind == "ipv4", F.concat_ws(".", F.when(attempt < 2, F.lit("10")).otherwise((_draw(seed, 4) % 223 + 1).cast("string")),
+                                          *(_draw(seed, i).cast("string") for i in (1, 2, 3))))
+        .when(kind == "ipv6", F.when(attempt < 2, _hex(x, seed)).otherwise(F.concat_ws(":", *(F.substring(seed, 4 * i + 1, 4) for i in range(8)))))
+        .when(kind == "ssn", F.concat(F.when(attempt < 2, F.lit("9")).otherwise((_draw(seed, 12) % 10).cast("string")), F.substring(_digits(x, seed, F.lit(1)), 2, 10)))
         .when(kind == "iban", _same_class(x, seed, 2)).when(kind == "card", _card(x, seed)).when(kind == "phone", _digits(x, seed, country))
         .when(kind == "name", _name(x, seed, attempt, key))
         .when(kind == "key", F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), seed, F.lit("\n-----END PRIVATE KEY-----")))
+        .when(kind == "number", x)
         .when(x.rlike("^[0-9a-f]+$"), _hex(x, seed)).when(x.rlike("^[0-9A-F]+$"), F.upper(_hex(x, seed)))
-        .otherwise(F.concat(_same_class(x, seed), F.when(attempt >= 4, F.substring(seed, 101, 16)).otherwise("")))
+        .otherwise(F.concat(prefix, _same_class(F.substring(x, F.char_length(prefix) + 1, F.char_length(x)), seed), F.when(attempt >= 4, F.substring(seed, 101, 16)).otherwise("")))
     )
 
 
@@ -251,6 +262,8 @@ def _exceptions(found: DataFrame, key: str) -> DataFrame:
     for attempt in range(1, ROUNDS):
         if lost.isEmpty():
             return moved
+        if attempt == STRICT:
+            taken = taken[1:]
         won = materialise(_owners(_proposals(lost.withColumn("attempt", F.lit(attempt)), key), taken), "later-proposals")
         taken.append(won.select("kind", "s"))
         moved = moved.union(won.select("kind", "normal", "attempt"))
@@ -260,23 +273,22 @@ def _exceptions(found: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no surrogate is left for {lost.count()} entities of kinds {[r.kind for r in lost.select('kind').distinct().collect()]}")
 
 
-def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every entity of ``text_col`` replaced; ``key`` is the secret that surrogates depend on.
 
     ``count_col`` adds the number of entities found.
     """
-    text = F.col(text_col)
-    found = docs.select(F.col(id_col).alias("id"), F.explode(_entities(text)).alias("e")).select("id", "e.*")
+    text = F.col(f"`{text_col}`")
+    found = docs.select(F.xxhash64(text).alias("h"), F.explode(_entities(text)).alias("e")).select("h", "e.*").where("kind <> 'number'")
     found = materialise(found, "found")  # a small part of the texts; found once
     moved = _exceptions(found, key)
-    lookup = found.select("id", "kind", "normal").distinct().join(moved, ["kind", "normal"])
+    lookup = found.select("h", "kind", "normal").distinct().join(moved, ["kind", "normal"])
     name = F.concat_ws("|", "kind", "normal")
-    by, at = free_name(docs, "moved"), free_name(docs, "moved_id")
-    lookup = lookup.groupBy(F.col("id").alias(at)).agg(F.map_from_entries(F.collect_set(F.struct(name.alias("k"), "attempt"))).alias(by))
+    by, at = free_name(docs, "moved"), free_name(docs, "moved_in")
+    lookup = lookup.groupBy(F.col("h").alias(at)).agg(F.map_from_entries(F.collect_set(F.struct(name.alias("k"), "attempt"))).alias(by))
     lookup = materialise(lookup, "moved")
 
-    rows = docs.join(lookup, F.col(id_col).eqNullSafe(F.col(at)), "left")
-
+    rows = docs.join(lookup, F.xxhash64(text) == F.col(at), "left")
     entities = free_name(docs, "entities")
     rows = rows.withColumn(entities, _entities(text))
 
@@ -287,7 +299,8 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     fresh = F.transform(F.transform(F.col(entities), seeded), lambda e: _surrogate(e["x"], e["kind"], e["seed"], e["attempt"], key))
     gaps = F.split(text, _ANY, -1)
     whole = F.array_join(F.zip_with(gaps, fresh, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    out = [F.when(F.size(entities) > 0, whole).otherwise(text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    names = [c for c in docs.columns if not count_col or c.lower() != count_col.lower()]
+    out = [F.when(F.size(entities) > 0, whole).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
     if count_col:
-        out.append(F.coalesce(F.array_size(entities), F.lit(0)).cast("long").alias(count_col))
+        out.append(F.coalesce(F.array_size(F.filter(entities, lambda e: e["kind"] != "number")), F.lit(0)).cast("long").alias(count_col))
     return rows.select(*out)

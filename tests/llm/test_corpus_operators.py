@@ -100,6 +100,34 @@ def test_surrogates_of_many_names_stay_distinct(spark):
     assert len({r.text.split()[2] for r in out if r.doc_id >= 7_000}) == 1
 
 
+def test_surrogates_take_entities_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,AB-CD\n\n" + "MIIEow+/" * 2000 + "\n-----END RSA PRIVATE KEY-----"
+    found = ["token = " + "a1B2" * 100, "password: eyJabc.def.ghi-jkl", "0123456789abcdef" * 20, key, "sk-" + "aB3_" * 100, "2001:db8::1", "fe80:1:2::",
+             "4111 1111 1111 1111", "a" * 300 + "@x.example.com"]
+    clean = ["std::dead a::b 12:30", "order 9807915762804490 of 1.2.3", "-----BEGIN PRIVATE KEY----- alone. " * 50, ""]
+    rows = list(enumerate(found + clean))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("N", F.lit("clash"))
+    out = {r.doc_id: r for r in surrogates.replace_personal_data(df, "k", count_col="n").collect()}
+    for i, t in enumerate(found):
+        value = re.split(r"[=:] ", t, maxsplit=1)[-1] if i < 2 else t
+        assert out[i].n == 1 and value not in out[i].text
+        assert i == 3 or len(out[i].text) == len(t) or "@" in t
+        runs = re.findall("[A-Za-z0-9]{8,}", value)
+        assert not any(run in out[i].text for run in runs if i not in (4,))
+    assert all(out[len(found) + i].text == t and out[len(found) + i].n == 0 for i, t in enumerate(clean))
+
+
+def test_surrogates_of_null_and_repeated_ids(spark):
+    """Coreference over documents against a plain dictionary, whatever the ids are."""
+    rows = [(None if i % 3 == 0 else 7, f"ask Herr Muller{chr(97 + i % 26)} or p{i % 40}@mail.example.com") for i in range(400)]
+    out = surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), "k").collect()
+    known, back = {}, {}
+    for (_, before), r in zip(rows, out):
+        for x, y in zip(before.split()[2::2], r.text.split()[2::2]):
+            assert known.setdefault(x, y) == y and back.setdefault(y, x) == x
+    assert len(known) == 66
+
+
 # ---- fingerprints -------------------------------------------------------------------------------
 
 def _pieces(text):
