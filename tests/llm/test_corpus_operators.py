@@ -1,11 +1,14 @@
 """The corpus operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +60,76 @@ def test_main_text_query(spark):
     assert html_extract.extract_main_text(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("src", ["<a " * 350_000, "<a href='x\" " * 90_000 + ">", "<p title=\"" + "<i '" * 250_000, "<b>x<hr>" * 125_000, "<" * 1_000_000,
+                                 "<p>a < b & c " * 70_000, "<div><td>" * 100_000, "<!-- <" * 150_000, "</p></i>" * 125_000])
+def test_main_text_takes_linear_time(src):
+    began = time.time()
+    html_extract.main_text(src)
+    assert time.time() - began < 10
+
+
+def test_main_text_keeps_wrappers_and_prunes_furniture():
+    body = "<p>A long paragraph, with commas, that is clearly the text of the page and nothing else.</p>" * 3
+    want = "\n".join(["A long paragraph, with commas, that is clearly the text of the page and nothing else."] * 3)
+    for wrapper in ("div class='content with-sidebar'", "div id=page class=no-sidebar", "div class=headerFixed", "section class='search-result-article'",
+                    "div class=widget-content", "form id=aspnetForm", "div class=widget", "header"):
+        tag = wrapper.split()[0]
+        inner = f"<article>{body}</article>" if wrapper.endswith("=widget") else body
+        assert html_extract.main_text(f"<body><{wrapper}>{inner}</{tag}><div class=ad>An advert, with, many, commas</div></body>") == want, wrapper
+    ad = "<div class='ad-slot'><p>Buy, this, now, please, it, is, cheap, and, good, and, you, want, it.</p></div>"
+    assert html_extract.main_text(f"<body>{ad}<article><p>Short.</p></article><ol class=comment-list><article>{body}</article></ol></body>") == "Short."
+    assert html_extract.main_text("<p>Hello, <span hidden>a < b</span> world, this</p>") == "Hello, world, this"
+    refs = "<ul>" + "".join(f"<li><a href={i}>Reference number {i}, a rather long title of a paper</a></li>" for i in range(4)) + "</ul>"
+    menu = "<ul>" + "".join(f"<li><a href={i}>Item {i}</a></li>" for i in range(4)) + "</ul>"
+    assert html_extract.main_text(f"<article>{menu}{body}{refs}</article>").count("\n") == 6
+
+
+def _plain_article(src):
+    """The text of pages whose article holds headings and paragraphs alone."""
+    inner = src[src.index("<article>") + 9:src.index("</article>")]
+    parts = re.split(r"</?(?:p|h1|ul|ol|li)[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0] == "<br>" else "", x)).split()) for x in parts]
+    return "\n".join(t for t in texts if t)
+
+
+def test_main_text_of_given_pages():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert len(pages) == 250 and all(html_extract.main_text(p["html"]) == _plain_article(p["html"]) for p in pages)
+
+
+def _brute_best(tree, path=()):
+    """(points, path) of each container of a small tree by the rule of the method, from the definition."""
+    tag, kids = tree
+    out = {}
+    if isinstance(kids, str):
+        return {path: html_extract.points_of(kids, 0)} if kids else {}
+    for n, kid in enumerate(kids):
+        for where, points in _brute_best(kid, (*path, n)).items():
+            out[where] = points
+    return out
+
+
+def test_main_text_scores_equal_brute_force():
+    """The container with the most points, summed over its paragraphs at their distance, is the one kept."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        text = lambda: "w" * int(rng.integers(30, 300)) + "," * int(rng.integers(0, 6))
+        groups = [[[text() for _ in range(rng.integers(1, 4))] for _ in range(rng.integers(1, 3))] for _ in range(rng.integers(2, 4))]
+        tree = ("body", [("div", [("div", [("p", t) for t in inner]) for inner in outer]) for outer in groups])
+        score = Counter()
+        for where, points in _brute_best(tree).items():
+            for up, share in zip(range(len(where) - 1, -1, -1), (1, 0.5, 1 / 6, 1 / 9)):
+                score[where[:up]] += points * share
+        best = max(score, key=lambda k: (score[k], [-x for x in k]))
+        src = "<body>" + "".join("<div>" + "".join("<div>" + "".join(f"<p>{t}</p>" for t in inner) + "</div>" for inner in outer) + "</div>" for outer in groups) + "</body>"
+        kept = html_extract.main_text(src).split("\n")
+        node = groups
+        for k in best:
+            node = node[k]
+        flat = lambda x: [x] if isinstance(x, str) else [z for y in x for z in flat(y)]
+        assert set(flat(node)) <= set(kept)
+
+
 # ---- surrogates ---------------------------------------------------------------------------------
 
 def test_surrogates(spark, edge, empty):
