@@ -1,17 +1,18 @@
 """Language identification: words first, backing off to shorter character n-grams.
 
-Counts of words by language cover every labelled document. A known word scores the log of its smoothed
-relative frequency in each language; an unseen word scores the mean of its known character n-grams of the
-longest length (4 down to 1) that has any. A text's score is the softmax of its words' mean score,
-sharpened by the number of words up to ``EVIDENCE``.
-
-The tables that executors receive hold at most ``WORDS`` words and ``GRAMS`` n-grams of each length, the most
-frequent ones over all documents (ties by spelling), and at most ``LANGUAGES`` languages; everything else
-backs off. That bound is that of the model, not of the counts.
-
-Defined results: ``und`` with score 0 for null text, text without letters, or with nothing learned; ties
-go to the language first in order; repeated rows get equal results; a null key is not held out and, as its
-fold is unknown, never learned from.
+The model is fitted on a sample of the labelled texts of at most ``TRAIN_CHARS`` characters in expectation, shared equally by
+the languages and chosen by a hash of the text (copies teach once; each language keeps one text at least). Of that sample every language,
+word and n-gram is learned. A known word scores the log of its smoothed relative frequency in each language; an unseen
+word scores the mean of its known character n-grams of the longest length (4 down to 1) that has any. A text's score is the softmax
+of its words' mean score, sharpened by the number of words up to ``EVIDENCE``.
+
+Scores are kept sparse: each table has one vector of languages for what is absent, and each key the languages that have it. So the model grows
+with the sample, not with words times languages.
+
+Defined results: ``und`` with score 0 for null text and text without letters (and for every text if nothing is learned); a text with letters
+of which no n-gram is known gets the language with the most words, with score 1 / languages; ties go to the language first in order; runs of
+more than ``RUN`` letters are taken as several words, so very long texts without spaces are scored whole; repeated rows get equal results; a null
+key is not held out and, as its fold is unknown, never learned from; an empty table gives an empty table; existing columns called like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -23,36 +24,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import map_arrow, materialise, slices
+from tessera.llm.common import map_arrow, materialise, slices, without
 
-#: Bounds of the tables that executors receive.
-WORDS, GRAMS, LANGUAGES = 60_000, 30_000, 200
+#: Characters of labelled text that a model is fitted on, in expectation and over all languages.
+TRAIN_CHARS = 16_000_000
+#: Letters of a word at most.
+RUN = 64
 #: Entries of a task's counters before they are passed on; words whose scores a task remembers, and numbers in all.
 FLUSH, CACHE, CACHE_CELLS = 200_000, 400_000, 8_000_000
 #: Words beyond which more evidence doesn't sharpen the score.
 EVIDENCE = 20
-_WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+_NUMERALS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]{{1,{RUN}}}")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _grams(word: str, n: int) -> list[str]:
-    w = f"<{word}>" if n > 1 else word
-    return [w[i:i + n] for i in range(len(w) - n + 1)]
-
-
-def _emit(counters: dict[str, Counter]) -> pa.RecordBatch:
-    langs = [lang for lang, c in counters.items() for _ in range(len(c))]
-    keys, counts = [k for c in counters.values() for k in c], [n for c in counters.values() for n in c.values()]
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["lang", "k", "n"])
-
-
 def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, k, n``: occurrences of each word, counted in the tasks before the shuffle."""
 
+    def emit(counters):
+        langs = [lang for lang, c in counters.items() for _ in range(len(c))]
+        keys, counts = [k for c in counters.values() for k in c], [n for c in counters.values() for n in c.values()]
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["lang", "k", "n"])
+
     def run(batches):
         counters: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
@@ -60,130 +59,164 @@ def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 for lang, text in zip(part.column("_lang").to_pylist(), part.column("_text").to_pylist()):
                     counters[lang].update(words_of(text))
                 if sum(map(len, counters.values())) > FLUSH:
-                    yield _emit(counters)
+                    yield emit(counters)
                     counters.clear()
         if counters:
-            yield _emit(counters)
+            yield emit(counters)
 
     rows = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang IS NOT NULL AND _text IS NOT NULL")
     return rows.mapInArrow(run, "lang string, k string, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
 
-def count_grams(words: DataFrame) -> DataFrame:
-    """``lang, k, n``: character n-grams of lengths 1 to 4 in the counted words; word ends are marked but for single characters."""
-
-    def run(batches):
-        counters: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
-            for lang, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "k", "n"))):
-                counter = counters[lang]
-                for size in (1, 2, 3, 4):
-                    for g in _grams(w, size):
-                        counter[g] += n
-            if sum(map(len, counters.values())) > FLUSH:
-                yield _emit(counters)
-                counters.clear()
-        if counters:
-            yield _emit(counters)
-
-    return words.mapInArrow(run, "lang string, k string, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chars: int = TRAIN_CHARS) -> DataFrame:
+    """Distinct ``lang, text`` of about ``chars`` characters, an equal share for each language."""
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang", "h").agg(F.max(F.char_length("text")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.min("h").alias("least"))
+    sizes = materialise(sizes, "language-sizes")  # a row for each language
+    share = chars / max(1, sizes.count())
+    chosen = rows.join(sizes, "lang").where((F.pmod("h", F.lit(1 << 30)) / (1 << 30) < share / F.col("n")) | (F.col("h") == F.col("least")))
+    return chosen.select("lang", "text").distinct()
+
+
+def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' character n-grams, and the word of each; word ends are marked but for single characters."""
+    marked = words if n == 1 else [f"<{w}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    m = max(0, len(points) - n + 1)
+    h = points[:m].copy()
+    for k in range(1, n):
+        h = h * _STEP + points[k:m + k]
+    inside = owner[:m] == owner[n - 1:n - 1 + m]
+    return h[inside], owner[:m][inside]
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices of ranges of an array, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
+class Table:
+    """Counts of one kind of key by language, sparse: what a key adds to the score of an absent one, where it occurs."""
+
+    def __init__(self, keys: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int):
+        """``keys`` are numbers; a key and language occur once."""
+        order = np.lexsort((lang, keys))
+        keys, self.lang, n = keys[order], lang[order].astype(np.int32), n[order]
+        self.keys, self.start, self.length = np.unique(keys, return_index=True, return_counts=True)
+        totals = np.bincount(self.lang, n, langs).astype(float)  # counts are whole if there are none
+        self.absent = np.log(0.5 / (totals + 0.5 * (len(self.keys) + 1)))
+        self.adds = np.log((n + 0.5) / 0.5)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 class Model:
-    """Log frequencies by language: one table for words and one for each length of n-grams."""
-
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, int]], scores: dict[int, np.ndarray]):
-        self.langs, self.tables, self.scores = langs, tables, scores
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Scores of words by language; of words that nothing is known of, NaN."""
-        out = np.full((len(words), len(self.langs)), np.nan)
-        at = [self.tables[0].get(w, -1) for w in words]
-        known = np.array(at, np.int64)
-        out[known >= 0] = self.scores[0][known[known >= 0]]
-        left = np.flatnonzero(known < 0)
+    """Tables 0 for words and 1 to 4 for n-grams; ``langs`` in order."""
+
+    def __init__(self, counts: list[tuple[str, str, int]]):
+        self.langs = sorted({lang for lang, _, _ in counts})
+        index = {lang: i for i, lang in enumerate(self.langs)}
+        lang = np.array([index[x] for x, _, _ in counts], np.int64)
+        n = np.array([x for _, _, x in counts], np.int64)
+        words = [w for _, w, _ in counts]
+        self.word = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.tables = [Table(np.array([self.word[w] for w in words], np.int64), lang, n, len(self.langs))]
+        for size in (1, 2, 3, 4):
+            h, owner = _grams(words, size)
+            pair, at = np.unique(np.stack([h, lang[owner].astype(np.uint64)]), axis=1, return_inverse=True)
+            self.tables.append(Table(pair[0], pair[1].astype(np.int64), np.bincount(at.ravel(), n[owner], pair.shape[1]), len(self.langs)))
+        self.absent = np.stack([t.absent for t in self.tables])
+        words_by_lang = np.bincount(lang, n, len(self.langs)) if self.langs else np.empty(0)
+        self.first = self.langs[int(words_by_lang.argmax())] if self.langs else UNKNOWN
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Of each word the table that tells of it (-1: none) and the number of its entries; then all entries' languages and values."""
+        kind = np.full(len(words), -1)
+        at = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
+        known = np.flatnonzero(at >= 0)
+        kind[known] = 0
+        t = self.tables[0]
+        flat = _ranges(t.start[at[known]], t.length[at[known]])
+        found = [(np.repeat(known, t.length[at[known]]), t.lang[flat], t.adds[flat])]
+        left = np.flatnonzero(at < 0)
         for n in (4, 3, 2, 1):
-            table = self.tables[n]
-            found = [[table[g] for g in _grams(words[i], n) if g in table] for i in left.tolist()]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((g for f in found for g in f), np.int64, int(sizes.sum()))
-            if len(flat):
-                some = sizes > 0
-                starts = (np.cumsum(sizes) - sizes)[some]
-                out[left[some]] = np.add.reduceat(self.scores[n][flat], starts, axis=0) / sizes[some, None]
-                left = left[~some]
-        return out
+            if not len(left):
+                break
+            t = self.tables[n]
+            h, owner = _grams([words[i] for i in left.tolist()], n)
+            place = t.find(h)
+            owner, place = owner[place >= 0], place[place >= 0]
+            sizes = np.bincount(owner, minlength=len(left))
+            flat, who = _ranges(t.start[place], t.length[place]), np.repeat(owner, t.length[place])
+            cell, back = np.unique(who * len(self.langs) + t.lang[flat], return_inverse=True)  # one entry for each word and language
+            who, lang = cell // max(1, len(self.langs)), cell % max(1, len(self.langs))
+            found.append((left[who], lang.astype(np.int32), np.bincount(back, t.adds[flat], len(cell)) / sizes[who]))
+            kind[left[sizes > 0]] = n
+            left = left[sizes == 0]
+        owner, lang, value = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(owner, kind="stable")
+        return kind, np.bincount(owner, minlength=len(words)), lang[order], value[order]
 
     def predict(self, texts: list[str | None], memory: dict) -> tuple[list[str], np.ndarray]:
-        """Languages and scores; ``memory`` keeps words' scores between calls, up to a bound."""
-        n = len(texts)
-        if not self.langs:
+        """Languages and scores; ``memory`` keeps words' entries between calls, up to a bound."""
+        n, width = len(texts), len(self.langs)
+        if not width:
             return [UNKNOWN] * n, np.zeros(n)
-        if not memory or len(memory["at"]) > min(CACHE, CACHE_CELLS // len(self.langs)):
-            memory.update(at={}, rows=np.empty((0, len(self.langs))))
+        if not memory or len(memory["at"]) > CACHE or len(memory["lang"]) > CACHE_CELLS:
+            memory.update(at={}, kind=np.empty(0, np.int64), start=np.empty(0, np.int64), length=np.empty(0, np.int64),
+                          lang=np.empty(0, np.int32), value=np.empty(0))
         split = [words_of(t) for t in texts]
         at = memory["at"]
         new = list(set().union(*split).difference(at))
         if new:
             at.update(zip(new, range(len(at), len(at) + len(new))))
-            memory["rows"] = np.concatenate((memory["rows"], self.rows(new)))
+            kind, length, lang, value = self.rows(new)
+            memory["start"] = np.r_[memory["start"], len(memory["lang"]) + np.cumsum(length) - length]
+            for name, part in (("kind", kind), ("length", length), ("lang", lang), ("value", value)):
+                memory[name] = np.concatenate((memory[name], part))
         sizes = np.fromiter(map(len, split), np.int64, n)
         flat = np.fromiter((at[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
-        owner, rows = np.repeat(np.arange(n), sizes), memory["rows"]
-        told = ~np.isnan(rows[flat, 0])
+        owner = np.repeat(np.arange(n), sizes)
+        told = memory["kind"][flat] >= 0
         flat, owner = flat[told], owner[told]
-        count = np.bincount(owner, minlength=n)
-        total = np.stack([np.bincount(owner, rows[flat, j], n) for j in range(len(self.langs))], axis=1).astype(float)  # counts are whole if there are none
+        kinds = len(self.tables)
+        count = np.bincount(owner * kinds + memory["kind"][flat], minlength=n * kinds).reshape(n, kinds)
+        length = memory["length"][flat]
+        entry = _ranges(memory["start"][flat], length)
+        cells = np.repeat(owner, length) * width + memory["lang"][entry]
+        total = count @ self.absent + np.bincount(cells, memory["value"][entry], n * width).reshape(n, width)
+        count = count.sum(axis=1)
         total *= (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[:, None]
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        langs = [self.langs[b] if c else UNKNOWN for b, c in zip(best.tolist(), count.tolist())]
-        return langs, np.where(count > 0, share, 0.0)
-
-
-def _table(counts: DataFrame, limit: int, langs: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    """The most frequent keys and their smoothed log frequencies by language."""
-    top = counts.groupBy("k").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    # Each task sends its own top rows to the driver, so those that can't be among the first are dropped beforehand:
-    # of totals in steps of a twelfth or so, the steps down to the one that holds the last row wanted.
-    top = materialise(top.withColumn("step", F.floor(F.log2("total") * 8)), "totals")
-    held, least = 0, None
-    for r in sorted(top.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
-        if held < limit:
-            held, least = held + r["n"], r["step"]
-    top = top.where(F.col("step") >= least) if least is not None else top
-    rows = top.orderBy(F.col("total").desc(), "k").limit(limit).select("k", "by").collect()
-    table = {r["k"]: i for i, r in enumerate(rows)}
-    n = np.array([[r["by"].get(lang, 0) for lang in langs] for r in rows], float).reshape(len(rows), len(langs))
-    return table, np.log((n + 0.5) / (totals + 0.5 * (len(rows) + 1)))
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from all rows of ``docs`` that have a language."""
-    words = materialise(count_words(docs, text_col, lang_col), "word-counts")
-    by_lang = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
-    by_lang = sorted((r["lang"], r["n"]) for r in by_lang)
-    langs = [lang for lang, _ in by_lang]
-    words = words.where(F.col("lang").isin(langs)) if len(langs) == LANGUAGES else words
-    tables, scores = {}, {}
-    tables[0], scores[0] = _table(words, WORDS, langs, np.array([n for _, n in by_lang], float))
-    grams = materialise(count_grams(words), "gram-counts")
-    sizes = {(r["lang"], r["s"]): r["n"] for r in grams.groupBy("lang", F.char_length("k").alias("s")).agg(F.sum("n").alias("n")).collect()}
-    for size in (1, 2, 3, 4):
-        totals = np.array([sizes.get((lang, size), 0) for lang in langs], float)
-        tables[size], scores[size] = _table(grams.where(F.char_length("k") == size), GRAMS, langs, totals)
-    return Model(langs, tables, scores)
+        langs = [self.langs[b] if c else self.first if s else UNKNOWN for b, c, s in zip(best.tolist(), count.tolist(), sizes.tolist())]
+        return langs, np.where(count > 0, share, np.where(sizes > 0, 1 / width, 0.0))
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chars: int = TRAIN_CHARS) -> Model:
+    """Learns from a sample of the rows of ``docs`` that have a language; see ``sample``."""
+    counts = count_words(sample(docs, text_col, lang_col, chars)).toArrow()  # bounded by the sample
+    return Model(sorted(zip(*(counts.column(c).to_pylist() for c in ("lang", "k", "n")))))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its score for each whole text; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{pred_col}` string, `{score_col}` double"
+    kept = [c for c in without(docs, pred_col) if c in without(docs, score_col)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{pred_col}` string, `{score_col}` double"
     memory: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = shared.value.predict(batch.column(text_col).to_pylist(), memory)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)],
-                                          names=[*batch.schema.names, pred_col, score_col])
+        langs, scores = shared.value.predict(batch.column("_text").to_pylist(), memory)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=[*kept, pred_col, score_col])
 
-    return map_arrow(docs, run, schema, text_col)
+    return map_arrow(docs.select(*kept, F.col(text_col).alias("_text")), run, schema, "_text")
