@@ -344,6 +344,34 @@ def test_nearest_equal_brute_force(spark):
     assert block_knn.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_crowds_and_repeated_ids(spark, monkeypatch):
+    """A third of the vectors nearly equal, a third equal; double precision, many cells; rows that share an id are queries each."""
+    for name, value in (("BLOCK", 50), ("GROUP", 60), ("SLICE", 150), ("TILE", 64), ("TILE_QUERIES", 16), ("PAIRS", 100)):
+        monkeypatch.setattr(block_knn, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 12))
+    x[:300] = x[0] + rng.normal(size=(300, 12)) * 1e-7
+    x[300:600] = x[300]
+    ids = np.r_[np.arange(890), np.full(10, 20)]
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)] + [(2000, [1e200] * 3), (2001, [2e200, 0.0, 0.0]), (2002, [1e-300] * 3)],
+                               "vec_id long, embedding array<double>")
+    out = defaultdict(list)
+    for r in block_knn.search(df, F.col("vec_id") % 20 == 0, 20).collect():
+        out[r.query_id].append((r.rank, r.vec_id, r.score))
+    want = defaultdict(list)
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[q]).sum(axis=1)
+        want[int(ids[q])] += [(n + 1, int(ids[i]), s[i]) for n, i in enumerate([i for i in np.lexsort((ids, -s)) if i != q][:20])]
+    assert sorted(v for _, v, _ in out.pop(2000)) == [2001, 2002]
+    assert {q: sorted(v) for q, v in out.items()} == {q: sorted(v) for q, v in want.items()} and len(out[20]) == 220
+
+
+def test_products_of_codes_are_exact():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(-127, 128, (20, 3000)).astype(np.int8) for _ in range(2))
+    assert (block_knn.products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
 # ---- quality and language -----------------------------------------------------------------------
 
 def _prose(rng, n):
