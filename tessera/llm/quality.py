@@ -4,14 +4,13 @@ A document is a bag of passages (lines, long ones cut at a fixed length; the who
 passage is encoded from character-class and word-repetition statistics by a small learned layer; gated
 attention, learned from document labels alone, weighs the passages, and the weighted representation is scored.
 
-The model is fitted on at most ``TRAIN_DOCS`` labelled documents, chosen by a hash of the key, with at most
-``TRAIN_PASSAGES`` passages of each, evenly spaced; every document is scored on all of its passages. Only the
-bounded sample and the model of a few thousand numbers pass through the driver.
+The model is fitted on all passages of at most ``TRAIN_DOCS`` labelled documents, taken in the order of a hash of the key until
+their texts have ``TRAIN_CHARS`` characters (one at least). Only that bounded sample and the model of a few thousand numbers pass through the driver.
 
-Defined results: null text is an empty text, a bag of one empty passage; labels that are null are not used,
-several labels of one document count as their mean; with no labels, or labels of one class alone, every
+Defined results: null text is an empty text, a bag of one empty passage; a very long text is scored on all of its passages; labels that are null are not used,
+several labels of one document count as their mean, and of several texts of one key the least is learned from; with no labels, or labels of one class alone, every
 score is the share of label 1 (1.0 with no labels at all); repeated rows get equal scores; a null key is not
-held out and never trained on.
+held out and never trained on; an empty table gives an empty table; an existing column called like the score is replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import map_arrow, materialise, without
 
-#: Labelled documents, and passages of each, that the model is fitted on at most.
-TRAIN_DOCS, TRAIN_PASSAGES = 6_000, 48
+#: Labelled documents, and characters of their texts, that the model is fitted on at most.
+TRAIN_DOCS, TRAIN_CHARS = 6_000, 24_000_000
 #: Characters of a passage at most.
 PASSAGE = 600
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 128, 0.01
@@ -155,15 +154,11 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _features(docs: DataFrame, limit: int) -> DataFrame:
-    """label, features of the passages (bytes) and their number, for training."""
+def _features(docs: DataFrame) -> DataFrame:
+    """label, features of all passages (bytes) and their number, for training."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bags = []
-        for t in batch.column("_text").to_pylist():
-            bag = passages(t)
-            bags.append(bag if len(bag) <= limit else [bag[i] for i in np.linspace(0, len(bag) - 1, limit).astype(int)])
-        x, counts = encode(bags)
+        x, counts = encode([passages(t) for t in batch.column("_text").to_pylist()])
         x, starts = x.astype(np.float32), bag_order(counts)
         raw = [x[i:i + n].tobytes() for i, n in zip(starts, counts)]
         return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(raw, pa.binary()), pa.array(counts)], names=["label", "x", "n"])
@@ -172,12 +167,17 @@ def _features(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        train_docs: int = TRAIN_DOCS) -> Model:
+        train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
     """Learns from a sample of labelled rows that are not held out."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     sample = known.groupBy(F.col(key).alias("_key")).agg(F.avg(label_col).alias("label")).orderBy(F.xxhash64("_key"), "_key").limit(train_docs)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_key").select("label", "_text")
-    found = sorted(_features(rows, TRAIN_PASSAGES).collect(), key=lambda r: (r["label"], r["n"], bytes(r["x"])))
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), "_key")
+    rows = materialise(rows.groupBy("_key", "label").agg(F.min("_text").alias("_text")), "labelled")  # one for each key
+    at = rows.select(F.xxhash64("_key").alias("at"), F.char_length("_text").alias("n")).orderBy("at").toArrow()  # at most train_docs rows
+    fits = np.cumsum(at.column("n").to_numpy()) <= train_chars
+    if not fits.all():
+        rows = rows.where(F.xxhash64("_key") <= at.column("at")[max(1, int(fits.sum())) - 1].as_py())
+    found = sorted(_features(rows.select("label", "_text")).collect(), key=lambda r: (r["label"], r["n"], bytes(r["x"])))
     counts = np.array([r["n"] for r in found], np.int64)
     x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in found]).reshape(-1, N_FEATURES).astype(float) if found else np.empty((0, N_FEATURES))
     return Model().fit(x, counts, np.array([r["label"] for r in found], float))
@@ -186,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str =
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double"
+    kept = without(docs, score_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{score_col}` double"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, counts = encode([passages(t) for t in batch.column(text_col).to_pylist()])
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x, counts))], names=[*batch.schema.names, score_col])
+        x, counts = encode([passages(t) for t in batch.column("_text").to_pylist()])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(x, counts))], names=[*kept, score_col])
 
-    return map_arrow(docs, run, schema, text_col, max_bytes=2 << 20)
+    return map_arrow(docs.select(*kept, F.col(text_col).alias("_text")), run, schema, "_text", max_bytes=2 << 20)

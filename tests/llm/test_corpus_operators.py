@@ -397,6 +397,31 @@ def test_quality_held_out(spark, edge, empty):
     assert quality.fit(df, labels.where("false")).constant == 1.0
 
 
+def _brute_score(model, text):
+    """One document's score, passage by passage, from the definition of gated attention."""
+    p, hs, logits = model.p, [], []
+    for x in quality.encode([[q] for q in quality.passages(text)])[0]:
+        h = np.tanh((x - model.mean) / model.std @ p["E"] + p["e"])
+        hs.append(h)
+        logits.append((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"])
+    a = np.exp(np.array(logits) - max(logits))
+    return 1 / (1 + np.exp(-((a / a.sum()) @ np.array(hs) @ p["c"] + p["b"][0])))
+
+
+def test_quality_of_given_labels(spark):
+    """Held-out ranking of the given labels; scores against brute force; repeated keys, and a score column already there."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    twice = docs.union(docs.where("doc_id < 100"))
+    model = quality.fit(twice, labels)
+    out = {r.doc_id: r for r in quality.score(docs.withColumn("SCORE", F.lit("clash")), model).join(labels, "doc_id").where(quality.held_out()).collect()}
+    good, bad = ([r.score for r in out.values() if r.quality == q] for q in (1, 0))
+    assert len(good) > 10 and len(bad) > 10 and np.mean([[g > b for b in bad] for g in good]) > 0.95
+    for r in list(out.values())[:10]:
+        assert r.score == pytest.approx(_brute_score(model, r.text))
+    few = quality.fit(docs, labels, train_chars=1)
+    assert few.constant is not None
+
+
 def test_language_held_out(spark, edge, empty):
     rng = np.random.default_rng(6)
     vocab = {"en": "the of and house river walk stone light".split(), "de": "der die und haus fluss gehen stein licht".split()}
@@ -407,10 +432,72 @@ def test_language_held_out(spark, edge, empty):
     assert all(out[i].lang_pred == lang for i, _, lang in rows) and out[900].lang_pred == out[901].lang_pred == "und"
     assert out[902].lang_pred == "en" and all(0 <= r.lang_score <= 1 for r in out.values())
     assert language.predict(edge, model).count() == len(EDGE)
+    assert language.predict(edge.withColumn("lang_pred", F.lit(1)), model).columns == [*edge.columns, "lang_pred", "lang_score"]
     none = language.fit(empty)
     assert {r.lang_pred for r in language.predict(edge, none).collect()} == {"und"}
 
 
+def _brute_language(counts, text):
+    """Word-first backoff from the definition: one word, one language, one n-gram at a time."""
+    langs = sorted({lang for lang, _, _ in counts})
+    tables = {0: defaultdict(Counter), 1: defaultdict(Counter), 2: defaultdict(Counter), 3: defaultdict(Counter), 4: defaultdict(Counter)}
+    grams = lambda w, n: [w[i:i + n] for i in range(len(w) - n + 1)]
+    for lang, w, n in counts:
+        tables[0][w][lang] += n
+        for size in (1, 2, 3, 4):
+            for g in grams(w if size == 1 else f"<{w}>", size):
+                tables[size][g][lang] += n
+    totals = {k: Counter() for k in tables}
+    for k, t in tables.items():
+        for c in t.values():
+            totals[k].update(c)
+
+    def log(k, key, lang):
+        return np.log((tables[k][key][lang] + 0.5) / (totals[k][lang] + 0.5 * (len(tables[k]) + 1)))
+
+    rows = []
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in tables[0]:
+            rows.append([log(0, w, lang) for lang in langs])
+            continue
+        for size in (4, 3, 2, 1):
+            known = [g for g in grams(w if size == 1 else f"<{w}>", size) if g in tables[size]]
+            if known:
+                rows.append([np.mean([log(size, g, lang) for g in known]) for lang in langs])
+                break
+    if not rows:
+        return None
+    mean = np.mean(rows, axis=0) * min(len(rows), language.EVIDENCE)
+    return langs[int(mean.argmax())], 1 / np.exp(mean - mean.max()).sum()
+
+
+def test_language_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    counts = Counter((r.lang, w) for r in {(r.lang, r.text): r for r in rows}.values() if r.lang for w in language.words_of(r.text))
+    model = language.fit(docs)
+    want = language.Model(sorted((*k, n) for k, n in counts.items()))
+    assert model.langs == want.langs and model.word == want.word and (model.absent == want.absent).all()
+    texts = [r.text for r in rows][:40] + ["thand derein", "zzq 中 x", "o"]
+    langs, scores = model.predict(texts, {})
+    for t, lang, score in zip(texts, langs, scores):
+        found = _brute_language([(*k, n) for k, n in counts.items()], t)
+        assert found is None or (lang, score) == (found[0], pytest.approx(found[1]))
+
+
+def test_language_of_many_languages_and_unseen_scripts(spark):
+    rng = np.random.default_rng(12)
+    words = {f"l{i:03}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(20)] for i in range(300)}
+    rows = [(i, " ".join(rng.choice(w, 15)), lang) for i, (lang, w) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert [r.lang_pred for r in language.predict(docs, model).collect()] == [lang for _, _, lang in rows] and len(model.langs) == 300
+    langs, scores = model.predict(["Ωμέγα λόγος", "½ ² 12", "x" * 100_000, None], {})
+    assert langs[0] in model.langs and scores[0] == pytest.approx(1 / 300) and langs[1] == langs[3] == "und" and langs[2] in model.langs
+    small = language.sample(docs, chars=100).collect()
+    assert {r.lang for r in small} == set(words)
+
+
 # ---- packing ------------------------------------------------------------------------------------
 
 def test_packing_covers_every_token(edge, empty):
