@@ -35,13 +35,20 @@ FLUSH, CACHE, CACHE_CELLS = 200_000, 400_000, 8_000_000
 #: Words beyond which more evidence doesn't sharpen the score.
 EVIDENCE = 20
 UNKNOWN = "und"
+_WORD = re.compile(rf"[^\W\d_]{{1,{RUN}}}")
+#: Numerals like ½ that patterns count among letters; and a wider, quicker class that tells which texts may have some.
 _NUMERALS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]{{1,{RUN}}}")
+_NUMERAL = re.compile(f"[{_NUMERALS}]")
+_MAYBE = re.compile(f"[{''.join(c for c in _NUMERALS if c < chr(256))}{min(c for c in _NUMERALS if c >= chr(256))}-{chr(0x10ffff)}]")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    return _WORD.findall(_NUMERAL.sub(" ", text) if not text.isascii() and _MAYBE.search(text) else text)
 
 
 def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -132,8 +139,10 @@ class Model:
         self.tables = [Table(np.array([self.word[w] for w in words], np.int64), lang, n, len(self.langs))]
         for size in (1, 2, 3, 4):
             h, owner = _grams(words, size)
-            pair, at = np.unique(np.stack([h, lang[owner].astype(np.uint64)]), axis=1, return_inverse=True)
-            self.tables.append(Table(pair[0], pair[1].astype(np.int64), np.bincount(at.ravel(), n[owner], pair.shape[1]), len(self.langs)))
+            key, at = np.unique(h, return_inverse=True)
+            cell, at = np.unique(at * len(self.langs) + lang[owner], return_inverse=True)
+            key, by = key[cell // max(1, len(self.langs))], cell % max(1, len(self.langs))
+            self.tables.append(Table(key, by, np.bincount(at, n[owner], len(cell)), len(self.langs)))
         self.absent = np.stack([t.absent for t in self.tables])
         words_by_lang = np.bincount(lang, n, len(self.langs)) if self.langs else np.empty(0)
         self.first = self.langs[int(words_by_lang.argmax())] if self.langs else UNKNOWN
