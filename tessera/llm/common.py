@@ -33,16 +33,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of ``materialise`` results that nothing reads any more."""
     for df in frames:
         context = df.sparkSession.sparkContext
-        for file in df.inputFiles()[:1]:
-            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = context._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def without(df: DataFrame, name: str) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 
 def _state(edges: DataFrame):
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``node, component`` for every node with an edge; the component is its smallest node.
 
     Minima are pre-aggregated and joined back, so a hub's edges are never gathered in one task. Each round is
-    written to shared storage; only a count and a checksum reach the driver.
+    written to shared storage, where it replaces the one before; only a count and a checksum reach the driver.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "cc")
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, edges = edges, materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(before)
         now = _state(edges)
         if now == state:
             break

@@ -11,15 +11,15 @@ prefixes (those met in the most orders), which joins most copies; then every oth
 members aren't yet connected. So no pair between copies already connected is ever compared. Pairs whose signatures agree far less than the threshold (five standard
 deviations) are dropped before their sets are read.
 
-At 0.75 a pair misses all orders with probability (1 - 0.75 ** 3) ** TREES, about 2e-6. In regions that are cut deeper a pair
-needs a longer common prefix; there the stars and the many orders connect tight groups.
-
-A crowd is what regions still crowded at ``DEPTH`` hold, joined where they share members. If the two rounds leave it in several
-components (many texts of one template), all pairs between different components are counted on full sets, block by block. This is exact,
-and quadratic in what the rounds left apart; pairs within a component of more than a block are never counted.
+At 0.75 a pair misses all orders with probability (1 - 0.75 ** SHALLOW) ** TREES, about 2e-6. In regions that are cut deeper a pair
+needs a longer common prefix; there the stars and the many orders connect tight groups. What they leave apart is compared exactly: a crowd is what
+regions too crowded at depth ``SHALLOW`` hold, joined where they share members. If the two rounds leave it in several components (many texts of one
+template), all pairs between different components are counted on full sets, block by block. So no pair that meets in an order is lost, at a cost
+quadratic in what the rounds leave apart in a crowd; pairs within a component of more than a block are never counted.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer than five words
-are one shingle; a null id has a null component and is kept; rows that repeat an id and text are members each.
+are one shingle; very long texts are read whole; a null id has a null component and is kept; rows that repeat an id and text are members each;
+ties go to the smaller id; an empty table gives an empty table; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.llm.common import map_arrow, materialise
+from tessera.llm.common import discard, map_arrow, materialise
 from tessera.llm.components import connected_components
 
 SHINGLE = 5
@@ -105,9 +105,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, sig binary", "text")
 
 
-def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _regions(reps: DataFrame, write=materialise) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Members of regions of at most REGION (``region, label, rep``), stars of the crowded ones (``a, b``), and
-    members of those crowded at the last depth (``region, rep``), if there are such.
+    members of those crowded at the first depth (``region, rep``), if there are such. ``write`` stores what is read again.
 
     The first pivot of a crowded region is its most central member: the one whose regions, over all orders, hold the
     most members. It recurs from order to order, so a group's members meet the same few pivots.
@@ -119,12 +119,12 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     for depth in range(SHALLOW, DEPTH + 1):
         rows = rows.withColumn("region", F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * depth})")))
         count = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-        found = materialise(rows.join(count, "region"), f"regions-{depth}")
+        found = write(rows.join(count, "region"), f"regions-{depth}")
         small.append(found.where(F.col("n") <= REGION).select("region", "label", "rep"))
         rows = found.where(F.col("n") > REGION)
         if rows.isEmpty():
             break
-        if depth == DEPTH:
+        if depth == SHALLOW:
             crowd = rows.select("region", "rep")
         if central is None:
             central = found.groupBy("rep").agg(F.sum("n").alias("central"))
@@ -132,7 +132,7 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         pivots = rows.groupBy("region").agg(F.max(F.struct("central", F.xxhash64("rep").alias("h"), "rep")).alias("p"),
                                             F.max(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("q"))
         # Written first: reduced before the shuffle, and the join below may split a crowded region.
-        pivots = materialise(pivots.select("region", F.array("p.rep", "q.rep").alias("b")), f"pivots-{depth}")
+        pivots = write(pivots.select("region", F.array("p.rep", "q.rep").alias("b")), f"pivots-{depth}")
         stars.append(rows.select("region", "rep").join(pivots, "region").select("rep", "b"))
         rows = rows.select("rep", "tree", "label", "central")
     members = small[0]
@@ -147,7 +147,7 @@ def _regions(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     star = star.groupBy("rep").agg(F.flatten(F.collect_list("b")).alias("bs"))
     counted = F.expr("transform(array_distinct(bs), b -> struct(b, size(filter(bs, x -> x = b)) AS n))")
     star = star.select(F.col("rep").alias("a"), F.explode(counted).alias("e")).select("a", "e.b", F.col("e.n").cast("long").alias("n"))
-    return members, materialise(star.where("a <> b"), "stars"), crowd
+    return members, write(star.where("a <> b"), "stars"), crowd
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -172,11 +172,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
-    """``doc_id, s``: the full sets of representatives that have candidates, read once for both rounds.
-
-    The ids are hashed and the texts are not sorted, whatever the sizes.
-    """
+def _sets(docs: DataFrame, members: DataFrame, stars: DataFrame, write=materialise) -> DataFrame:
+    """``doc_id, s``: the full sets of representatives that have candidates, read once for both rounds."""
     needed = members.select(F.col("rep").alias("doc_id")).union(stars.select("a")).union(stars.select("b")).distinct()
     memory: dict = {}
 
@@ -184,11 +181,11 @@ def _sets(docs: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
         found = shingle_sets(batch.column("text").to_pylist(), memory)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s"])
 
-    rows = docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi")
-    return materialise(map_arrow(rows, sets, "doc_id long, s binary", "text"), "sets")
+    rows = docs.join(needed, "doc_id", "left_semi")
+    return write(map_arrow(rows, sets, "doc_id long, s binary", "text"), "sets")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, write=materialise) -> DataFrame:
     """Pairs whose full sets reach the threshold: 100 * shared >= percent * all."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
@@ -202,7 +199,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long", "x")
-    return materialise(links.distinct(), "links")  # rows that repeat an id give a pair twice
+    return write(links.distinct(), "links")  # rows that repeat an id give a pair twice
 
 
 def _joining(rows: pa.Table, percent: int) -> pa.Table:
@@ -250,27 +247,27 @@ def _joining(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int, write=materialise) -> DataFrame | None:
     """Links between different components of a crowd; nothing where each region is in one component."""
     part = crowd.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", F.coalesce("component", "rep").alias("c"))
-    part = materialise(part, "crowd")
+    part = write(part, "crowd")
     mixed = part.groupBy("region").agg(F.min("rep").alias("head"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-    mixed = materialise(mixed.select("region", "head"), "mixed")
+    mixed = write(mixed.select("region", "head"), "mixed")
     if mixed.isEmpty():
         return None
     left = part.join(mixed, "region")
     groups = connected_components(left.select(F.col("rep").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "crowd")
     rows = groups.withColumnRenamed("node", "rep").join(left.select("rep", "c").distinct(), "rep")
     rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").distinct()
-    rows = materialise(rows.select("crowd", "c", "rep", "s"), "crowd-sets")
+    rows = write(rows.select("crowd", "c", "rep", "s"), "crowd-sets")
 
     # Components of more than a block have blocks of their own, the others share some.
     units = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("s")) / BLOCK_BYTES).alias("units")
     parts = rows.groupBy("crowd", "c").agg(units)
-    parts = materialise(parts.withColumn("own", F.when(F.col("units") > 1, F.col("c").cast("string")).otherwise("")), "crowd-parts")
+    parts = write(parts.withColumn("own", F.when(F.col("units") > 1, F.col("c").cast("string")).otherwise("")), "crowd-parts")
     counts = parts.groupBy("crowd", "own").agg(F.ceil(F.sum("units")).cast("long").alias("k"))
     blocks = counts.withColumn("j", F.explode(F.expr("sequence(0L, k - 1)"))).select("crowd", "own", F.xxhash64("crowd", "own", "j").alias("block"))
-    blocks = materialise(blocks, "crowd-blocks")
+    blocks = write(blocks, "crowd-blocks")
     other = blocks.select("crowd", F.col("own").alias("own_b"), F.col("block").alias("b"))
     pairs = blocks.withColumnRenamed("block", "a").join(other, "crowd").where("a <= b AND (own <> own_b OR own = '')")
     pairs = pairs.withColumn("pair", F.xxhash64("crowd", "a", "b"))
@@ -279,7 +276,7 @@ def _crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     rows = rows.join(parts.drop("units"), ["crowd", "c"]).join(counts, ["crowd", "own"])
     rows = rows.withColumn("block", F.xxhash64("crowd", "own", F.pmod(F.xxhash64("rep"), "k")))
     rows = rows.join(sides, "block").select("pair", "right", "rep", "c", "s")
-    return materialise(rows.groupBy("pair").applyInArrow(lambda t: _joining(t, percent), "a long, b long"), "crowd-links")
+    return write(rows.groupBy("pair").applyInArrow(lambda t: _joining(t, percent), "a long, b long"), "crowd-links")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -289,7 +286,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     sketches = materialise(_sketches(docs), "sketches")
     known = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
-    members, stars, crowd = _regions(reps)
+    made: list[DataFrame] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
+    members, stars, crowd = _regions(reps, write)
 
     # Round 1: for each representative the two partners that it meets in the most orders.
     array = F.sort_array(F.collect_list(F.struct("label", "rep")))
@@ -299,10 +302,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     met = lists.select(F.explode(F.concat(steps, heads)).alias("e")).select("e.a", "e.b", F.lit(1).alias("n")).union(stars)
     met = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
     nearest = met.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("n").desc(), "b"))).where("r <= 2")
-    first = materialise(_pairs(nearest), "first")
-    sets = _sets(docs, members, stars)
-    links = _confirm(_likely(first, reps, percent / 100), sets, percent)
-    joined = materialise(connected_components(links), "joined")
+    first = write(_pairs(nearest), "first")
+    sets = _sets(docs, members, stars, write)
+    links = _confirm(_likely(first, reps, percent / 100), sets, percent, write)
+    joined = write(connected_components(links), "joined")
 
     # Round 2: all other candidates that aren't connected yet.
     part = members.select("region", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -316,15 +319,19 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
         outer = outer.join(names, side, "left")
     outer = outer.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     second = _pairs(inner.union(outer)).join(first, ["a", "b"], "left_anti")
-    more = _confirm(_likely(second, reps, percent / 100), sets, percent)
+    more = _confirm(_likely(second, reps, percent / 100), sets, percent, write)
     found = connected_components(links.union(more))
-    joining = _crowd_links(crowd, found, sets, percent) if crowd is not None else None
+    joining = _crowd_links(crowd, found, sets, percent, write) if crowd is not None else None
     if joining is not None:
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joining))
 
+    discard(*made)
+
     classes = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))
-    rows = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    rows = sketches.select("doc_id", "n_shingles", "digest")
+    linked = rows.where("digest IS NOT NULL").join(classes, "digest", "left").select("doc_id", "n_shingles", "component")
+    alone = rows.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))  # empty sets meet in no join
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return linked.union(alone).select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

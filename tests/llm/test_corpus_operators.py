@@ -316,6 +316,22 @@ def test_near_duplicates_in_a_template_crowd(spark, monkeypatch):
     assert len(set(want.values())) == 700 and {r.doc_id: r.component_id for r in out} == want
 
 
+@pytest.mark.parametrize("n, words, low, high", [(200, 86, 9, 13), (600, 400, 6, 9)])
+def test_near_duplicates_of_template_variants(spark, n, words, low, high):
+    """Variants of one template, a few linked and most not, in crowds that are cut deeper: components equal brute force."""
+    rng = np.random.default_rng(n)
+    texts = {}
+    for i in range(n):
+        t = [f"t{k}" for k in range(words)]
+        for at in rng.choice(words, rng.integers(low, high), replace=False):
+            t[at] = f"o{rng.integers(0, 1 << 40)}"
+        texts[2 * i] = " ".join(t)
+        if i % 5 == 0:
+            texts[2 * i + 1] = " ".join([*t[:-6], *(f"o{x}" for x in rng.integers(0, 1 << 40, 6))])
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == _components(texts)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (5, 5), (100, 102)]
     out = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
