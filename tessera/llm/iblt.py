@@ -9,21 +9,25 @@ peeled, both sides are built anew in a table large enough for all their paragrap
 All documents of a batch are built, subtracted and peeled together in flat numpy arrays.
 
 Defined results: null text is an empty text, with the empty table; two empty texts have likeness 1;
-equal texts have equal fingerprints; texts that differ by the order of their paragraphs alone have equal ones too.
+equal texts have equal fingerprints; texts that differ by the order of their paragraphs alone have equal ones too; very long texts are read whole, their
+stored tables are retried larger; rows that repeat a key, and null keys, are rows each (see ``with_next`` for their order); an empty table gives an empty table; other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import map_arrow, materialise
 
 #: Cells in each of the three parts of a stored table (a power of two).
 WIDTH = 16
@@ -198,40 +202,39 @@ def compare_versions(pairs: DataFrame, old: str, new: str, key: str = "doc_id")
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row with ``next_text``, the text of the next row by descending key (after the last: of the first).
+    """Each row with ``next_text``, the text of the next row by descending key (after the last: of the first); the key is a number.
 
-    Rows are dealt to key ranges and each range also gets the first row of the range after it, so texts are
-    shuffled once and no window spans the table. Ties of the key are ordered by text; null keys come last.
+    Rows are dealt to key ranges, and each range also gets the first row of the range after it, so texts are
+    shuffled once and no window spans the table. Ties of the key are ordered by a hash of the text, then by text; null keys come last. A key that holds
+    more rows than a range should, and the null keys, are cut into ranges by that hash.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
-    rows = docs.select(key, F.coalesce(text_col, F.lit("")).alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("double").alias("_k"))
-    cuts = sorted(set(known.approxQuantile("_k", [i / n for i in range(1, n)], 1 / (4 * n))))
-    cuts = [c for c in cuts if abs(c) != float("inf")] or [0.0]
-    splits = [-float("inf"), *cuts, float("inf")]
-    last = len(splits) - 2  # the range of the largest keys comes first, null keys after all
-    keyed = rows.withColumn("_k", F.col(key).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="_k", outputCol="_range", handleInvalid="keep")
-    keyed = cut.transform(keyed).withColumn("_range", F.when(F.col("_k").isNull(), F.lit(last + 1)).otherwise(last - F.col("_range")).cast("int"))
-    # At most one row for each range reaches the driver: the key that heads it.
-    heads = sorted((r[0], r[1]) for r in keyed.groupBy("_range").agg(F.max(key)).collect())
-    if not heads:
-        return rows.withColumn("next_text", F.lit(None).cast("string"))
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
-    schema = f"_range int, _head {docs.schema[key].dataType.simpleString()}, _before int"
-    lead = spark.createDataFrame([(r, k, before[r]) for r, k in heads], schema)
-    dealt = (
-        keyed.join(F.broadcast(lead), "_range")
-        .select(key, "text", F.explode(F.when(
-            F.col(key).eqNullSafe(F.col("_head")),
-            F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("borrowed")), F.struct(F.col("_before").alias("r"), F.lit(1).alias("borrowed"))),
-        ).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("borrowed"))))).alias("_place"))
-        .select(key, "text", F.col("_place.r").alias("_r"), F.col("_place.borrowed").alias("_borrowed"))
-    )
-    order = W.partitionBy("_r").orderBy("_borrowed", F.col(key).desc_nulls_last(), "text")
+    rows = docs.select(key, F.coalesce(text_col, F.lit("")).alias("text"), F.col(key).cast("double").alias("_k")).withColumn("_h", F.xxhash64("text"))
+    total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("_k").isNull()).alias("nulls")).first()
+    found = rows.where(F.col("_k").isNotNull()).approxQuantile("_k", [i / n for i in range(1, n)], 1 / (4 * n))
+    times = Counter(c for c in found if abs(c) != float("inf"))  # a key that comes up m times holds about m ranges' rows
+    cuts = sorted(set(times) | {math.nextafter(c, math.inf) for c, m in times.items() if m > 1}) or [0.0]
+    parts = [1] + [times.get(c, 1) for c in cuts] + [max(1, -(-total["nulls"] * n // max(1, total["n"])))]  # of each range, the nulls' last
+    order = [*range(len(cuts), -1, -1), len(cuts) + 1]
+    first = [0] * len(parts)
+    for before, r in zip(order, order[1:]):
+        first[r] = first[before] + parts[before]
+    cut = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_k", outputCol="_range", handleInvalid="keep")
+    keyed = cut.transform(rows).withColumn("_range", F.when(F.col("_k").isNull(), len(cuts) + 1).otherwise(F.col("_range").cast("int")) + 1)
+    of_range = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_range"))
+    part = F.floor((F.col("_h") / 2.0 ** 64 + 0.5) * of_range(parts)).cast("int")
+    keyed = keyed.withColumn("_r", of_range(first) + F.least(part, of_range(parts) - 1)).select(key, "text", "_h", "_r")
+
+    # The row that heads each range (one text for each) also ends the range before.
+    heads = keyed.groupBy("_r").agg(F.max_by(F.struct(key, "text", "_h"), F.struct(key, F.bitwise_not("_h"))).alias("e"))
+    heads = materialise(heads.select(F.col(f"e.{key}").alias(key), "e.text", "e._h", "_r"), "heads")
+    ranges = W.orderBy("_r").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = F.coalesce(F.lag("_r").over(W.orderBy("_r")), F.last("_r").over(ranges))
+    dealt = keyed.withColumn("_borrowed", F.lit(0)).union(heads.select(key, "text", "_h", before.alias("_r"), F.lit(1)))
+    order = W.partitionBy("_r").orderBy("_borrowed", F.col(key).desc_nulls_last(), "_h", "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("_borrowed = 0").select(key, "text", "next_text")
 
 

@@ -228,6 +228,20 @@ def test_fingerprints_equal_brute_force(spark, edge, empty):
     assert iblt.edit_report(empty).count() == 0 and iblt.fingerprints(edge).count() == len(EDGE)
 
 
+def test_next_text_of_repeated_and_null_keys(spark):
+    """Every row is followed by the row after it in one global order, whatever the keys."""
+    rng = np.random.default_rng(13)
+    keys = [None] * 300 + [7] * 300 + [int(k) for k in rng.integers(-50, 50, 200)] + [2 ** 60 + i for i in range(5)]
+    rows = [(k, f"text {i // 3} {'x' * (i % 7)}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h", F.lit("clash")).repartition(6)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    want = Counter((*r, after[1]) for r, after in zip(order, order[1:] + order[:1]))
+    assert Counter(tuple(r) for r in iblt.with_next(df).collect()) == want
+    one = spark.createDataFrame([(None, "a")], "doc_id long, text string")
+    assert [tuple(r) for r in iblt.with_next(one).collect()] == [(None, "a", "a")]
+
+
 def test_versions_recover_digests(spark):
     old = "\n".join(f"line {i}" for i in range(200))
     new = old.replace("line 7\n", "line seven\n") + "\nmore"
