@@ -6,9 +6,13 @@ a segmented minimum, merges all its leftmost non-overlapping pairs of that rank
 the array; rounds go on until no word has a pair. Where a merged piece could at once take part in a
 better pair, only the leftmost pair of the word is merged, so the result is that of one merge at a time.
 
+Words of more than ``LONG`` symbols take their minimum over a neighbourhood instead: what merges within one piece's length of a pair
+can change it, and nothing further off, so a pair that is the best within two lengths of the longest piece on either side is merged at once. So rounds don't grow with the word.
+
 Model: BPE with byte fallback, identity normalisation and a dummy prefix; another kind raises
 ValueError. Defined results: null text is an empty text; an empty text has no ids and decodes to '';
-characters outside the vocabulary become byte pieces; repeated rows give repeated results.
+characters outside the vocabulary become byte pieces; repeated rows give repeated results; very long texts and words are coded whole; an empty table gives an
+empty table; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 #: Words whose ids a task remembers; the memory is emptied when full.
 CACHE_WORDS = 300_000
+#: Symbols beyond which a word is merged by neighbourhoods.
+LONG = 256
 _NONE = np.iinfo(np.int64).max
 
 
@@ -86,6 +92,7 @@ class PieceModel:
         self.keys = np.array(keys, np.int64)[at]
         self.ranks = np.array(ranks, np.int64)[at]
         self.made = np.array(made, np.int64)[at]
+        self.reach = 2 * max(map(len, normal), default=1)
         # A merge is safe to repeat at once when its piece takes part in no pair of the same or a better rank.
         self.safe = np.ones(self.size, bool)
         for p, (i, s) in normal.items():
@@ -98,6 +105,50 @@ class PieceModel:
         found = self.keys[at] == key
         return np.where(found, self.ranks[at], _NONE), np.where(found, self.made[at], -1)
 
+    def _leading(self, hit: np.ndarray, made: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Of pairs of one rank, those to merge at once; ``new`` marks the first of each word or neighbourhood."""
+        # Of pairs that overlap in a row, every second one is merged, counted from the leftmost.
+        chain = np.r_[True, hit[1:] != hit[:-1] + 1] | new
+        index = np.arange(len(hit))
+        take = (index - np.maximum.accumulate(np.where(chain, index, 0))) % 2 == 0
+        # A merge that may lead to a better pair stands alone, and must be the leftmost.
+        safe = self.safe[made[hit]]
+        first_safe = np.repeat(safe[new], np.diff(np.r_[np.flatnonzero(new), len(hit)]))
+        return hit[take & (new | (safe & first_safe))]
+
+    def _merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """Merges of one long word, in rounds over neighbourhoods."""
+        rank, made = np.full(len(sym), _NONE), np.full(len(sym), -1)
+        rank[:-1], made[:-1] = self._pairs(sym[:-1], sym[1:])
+        while True:
+            least, width = rank.copy(), 1  # the best rank of ``width`` pairs from each on
+            while width < self.reach:
+                step = min(width, self.reach - width)
+                least[:-step] = np.minimum(least[:-step], least[step:])
+                width += step
+            before = np.full(len(rank), _NONE)  # and of as many pairs before each
+            before[1:] = np.minimum.accumulate(rank)[:-1]
+            if len(rank) > width:
+                before[width:] = least[:-width]
+            hit = np.flatnonzero((rank == least) & (rank <= before) & (rank != _NONE))
+            if not len(hit):
+                return sym
+            # Pairs of one rank wait for those before them: a row of them begins where no equal one stands before.
+            new = np.r_[True, np.diff(hit) > self.reach]
+            opens = np.repeat(rank[hit[new]] < before[hit[new]], np.diff(np.r_[np.flatnonzero(new), len(hit)]))
+            hit, new = hit[opens], new[opens]
+            hit = self._leading(hit, made, new)
+            sym[hit] = made[hit]
+            keep = np.ones(len(sym), bool)
+            keep[hit + 1] = False
+            place = np.cumsum(keep) - 1
+            sym, rank, made = sym[keep], rank[keep], made[keep]
+            hit = place[hit]
+            at = np.unique(np.concatenate([hit[hit > 0] - 1, hit]))
+            rank[at[at == len(sym) - 1]] = _NONE
+            at = at[at < len(sym) - 1]
+            rank[at], made[at] = self._pairs(sym[at], sym[at + 1])
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words in order, and the number of ids of each.
 
@@ -109,10 +160,17 @@ class PieceModel:
         unknown = np.flatnonzero(sym < 0)
         sym[unknown] = -1 - points[unknown].astype(np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        if (lengths > LONG).any():
+            ends = np.cumsum(lengths)
+            for i in np.flatnonzero(lengths > LONG).tolist():
+                merged = self._merge_long(sym[ends[i] - lengths[i]:ends[i]].copy())
+                done.append((np.full(len(merged), i), merged))
+            short = np.repeat(lengths <= LONG, lengths)
+            sym, word = sym[short], word[short]
         rank, made = np.full(len(sym), _NONE), np.full(len(sym), -1)
         at = np.flatnonzero(word[1:] == word[:-1])
         rank[at], made[at] = self._pairs(sym[at], sym[at + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, starts)
@@ -127,15 +185,7 @@ class PieceModel:
                     break
             hit = np.flatnonzero(rank == np.repeat(least, counts))
             new_word = np.r_[True, word[hit[1:]] != word[hit[:-1]]]
-            # Of pairs that overlap in a row, every second one is merged, counted from the leftmost.
-            chain = np.r_[True, hit[1:] != hit[:-1] + 1] | new_word
-            index = np.arange(len(hit))
-            take = (index - np.maximum.accumulate(np.where(chain, index, 0))) % 2 == 0
-            # A merge that may lead to a better pair stands alone in its word, and must be the leftmost.
-            safe = self.safe[made[hit]]
-            first_safe = np.repeat(safe[new_word], np.diff(np.r_[np.flatnonzero(new_word), len(hit)]))
-            take &= new_word | (safe & first_safe)
-            hit = hit[take]
+            hit = self._leading(hit, made, new_word)
             sym[hit] = made[hit]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False

@@ -269,6 +269,23 @@ def test_pieces_equal_the_library(edge, empty):
     assert piece_bpe.encode_decode(empty, path).count() == 0
 
 
+def test_long_words_equal_the_library():
+    """Words without a space, by neighbourhoods: as the library has them, in time that grows with their length."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.load(path)
+    rng = np.random.default_rng(17)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "etaoinshr", "ab", "=-", "01", "aeiouß中é𝒳", "ththeinger"]
+    texts = ["".join(rng.choice(list(a), n)) for a in alphabets for n in (257, 300, 1000, 4000)] + ["a" * 5000, "=" * 3001, "ab" * 1500, "the" * 999]
+    flat, counts = piece_bpe.Encoder(model)(texts)
+    for t, ids in zip(texts, np.split(flat, np.cumsum(counts)[:-1])):
+        assert ids.tolist() == sp.encode(t)
+    began = time.time()
+    piece_bpe.Encoder(model)(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))])
+    assert time.time() - began < 20
+
+
 # ---- near duplicates ----------------------------------------------------------------------------
 
 def _shingles(text):
