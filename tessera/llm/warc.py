@@ -6,12 +6,13 @@ SHA-1 digests in base32. Of records with equal payloads the one with the largest
 are revisits that name it; only digests are shuffled by content.
 
 Archives are written below spark.checkpoint.dir by Spark's text writer (compressed by file) and read back as whole
-files, whose size is bounded by ``SEGMENT_BYTES`` and ``FILE_SEGMENTS`` (a single larger record stays whole).
+files. Both kinds consist of segments of about ``SEGMENT_BYTES``, ``FILE_SEGMENTS`` to a file, so the size of a file is bounded (a single larger record stays whole).
+Which rows are revisits is written first; where that is small, Spark sends it to the payloads instead of shuffling them.
 
-Defined results: null or empty payloads are records of 0 bytes, equal to one another; a null key is kept
+Defined results: null or empty payloads are records of 0 bytes, equal to one another; very long payloads are written and read whole; a null key is kept
 as null and never chosen over a known one; rows repeated with the same key and payload are all responses
-(or all revisits); white space in a url is percent-encoded, a null url becomes ``urn:unknown``; an empty table
-gives an empty table.
+(or all revisits); white space in a url is percent-encoded (its UTF-8 bytes), a null url becomes ``urn:unknown``; an empty table
+gives an empty table; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import map_arrow, shared_path, slices
+from tessera.llm.common import materialise, shared_path, slices
 
 #: Bytes of records after which a new ARC segment (with its own version block) begins.
 SEGMENT_BYTES = 4 << 20
-#: Segments, or as many records' worth of them, in one archive file.
+#: Segments in one archive file.
 FILE_SEGMENTS = 8
-RECORDS_PER_FILE = 4_000
+#: Options of the text writer: speed over size, as archives are intermediate.
+_WRITE = {"maxRecordsPerFile": FILE_SEGMENTS, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Header fields of both versions of the format, in the order of the header line (fixed values).
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -73,7 +75,7 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url_col: str =
             for part in slices(batch, "_payload"):
                 for k, url, payload in zip(*(part.column(c).to_pylist() for c in ("_key", "_url", "_payload"))):
                     payload = payload or ""
-                    url = _SPACE.sub(lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:unknown"
+                    url = _SPACE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) if url else "urn:unknown"
                     row = f"X-Row-Key: {k}\r\n" if k is not None else ""
                     head = f"HTTP/1.1 200 OK\r\n{row}Content-Type: text/html; charset=utf-8\r\n\r\n"
                     size = len(head) + (len(payload) if payload.isascii() else len(payload.encode()))
@@ -86,11 +88,15 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url_col: str =
             yield _segment(version, date, parts)
 
     rows = pages.select(F.col(key).cast("long").alias("_key"), F.col(url_col).alias("_url"), F.col(payload_col).alias("_payload"))
-    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", FILE_SEGMENTS).option("compression", "gzip").text(path)
+    rows.mapInArrow(run, "value string").write.options(**_WRITE).text(path)
 
 
 def _segment(version: int, date: str, parts: list[str]) -> pa.RecordBatch:
-    text = _version_block(version, date) + "".join(parts)
+    return _lines([_version_block(version, date), *parts])
+
+
+def _lines(parts: list[str]) -> pa.RecordBatch:
+    text = "".join(parts)
     return pa.RecordBatch.from_arrays([pa.array([text[:-1]], pa.string())], names=["value"])  # the writer ends the line
 
 
@@ -158,44 +164,52 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
 
 # ---- WARC ---------------------------------------------------------------------------------------
 
-def _line(name: str, value: Column) -> Column:
-    """A header line; no line for null."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
+_REVISIT = "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"
+
+
+def _record(key, digest, n_bytes, target, date, ip, head, payload, block_digest, head_digest, refers_to) -> str:
+    """One WARC record: a revisit has the head alone as its block."""
+    revisit = refers_to is not None
+    name = hashlib.md5("|".join(str(x) for x in (target, date, digest, key) if x is not None).encode()).hexdigest()
+    block, rows = head if revisit else head + payload, ""
+    if key is not None:
+        rows += f"X-Row-Key: {key}\r\n"
+    if revisit:
+        rows += f"X-Refers-To-Key: {refers_to}\r\n"
+    return (f"WARC/1.0\r\nWARC-Type: {'revisit' if revisit else 'response'}\r\n"
+            f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {target}\r\n"
+            f"WARC-IP-Address: {ip}\r\nWARC-Payload-Digest: sha1:{digest}\r\nWARC-Block-Digest: sha1:{head_digest if revisit else block_digest}\r\n"
+            f"{_REVISIT if revisit else ''}X-Payload-Length: {n_bytes}\r\n{rows}Content-Type: application/http; msgtype=response\r\n"
+            f"Content-Length: {len(head.encode()) + (0 if revisit else n_bytes)}\r\n\r\n{block}\r\n\r\n")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 0) -> None:
     """Converts ARC files to WARC files; duplicates of at least ``min_revisit_bytes`` bytes become revisits."""
-    meta = read_arc(spark, arc_path, payloads=False)
+    meta = materialise(read_arc(spark, arc_path, payloads=False), "digests")
     copies = (
         meta.where(F.col("n_bytes") >= min_revisit_bytes)
         .groupBy("digest").agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
     revisits = meta.select("key", "digest").join(copies, "digest").where("NOT key <=> refers_to").distinct()
-    revisits = revisits.select(F.col("key").alias("r_key"), F.col("digest").alias("r_digest"), "refers_to")
+    revisits = materialise(revisits.select(F.col("key").alias("r_key"), F.col("digest").alias("r_digest"), "refers_to"), "revisits")
     rows = read_arc(spark, arc_path)
     rows = rows.join(revisits, F.col("key").eqNullSafe(F.col("r_key")) & (F.col("digest") == F.col("r_digest")), "left")
-    revisit = F.col("refers_to").isNotNull()
-    name = F.md5(F.concat_ws("|", "target", "date", "digest", "key"))
-    uuid = F.concat_ws("-", *(F.substring(name, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
-    record = F.concat(
-        F.lit("WARC/1.0\r\n"),
-        _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))),
-        _line("WARC-Date", F.col("date")),
-        _line("WARC-Target-URI", F.col("target")),
-        _line("WARC-IP-Address", F.col("ip")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        _line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(revisit, F.col("head_digest")).otherwise(F.col("block_digest")))),
-        _line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))),
-        _line("X-Payload-Length", F.col("n_bytes")),
-        _line("X-Row-Key", F.col("key")),
-        _line("X-Refers-To-Key", F.col("refers_to")),
-        _line("Content-Type", F.lit("application/http; msgtype=response")),
-        _line("Content-Length", F.octet_length(block)),
-        F.lit("\r\n"), block, F.lit("\r\n\r"),  # the writer adds the last line feed
-    )
-    rows.select(record.alias("value")).write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(warc_path)
+    names = ["key", "digest", "n_bytes", "target", "date", "ip", "head", "payload", "block_digest", "head_digest", "refers_to"]
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for part in slices(batch, "payload"):
+                for row in zip(*(part.column(c).to_pylist() for c in names)):
+                    parts.append(_record(*row))
+                    held += len(parts[-1]) if row[-1] is not None else row[2] + len(row[6])
+                    if held >= SEGMENT_BYTES:
+                        yield _lines(parts)
+                        parts, held = [], 0
+        if parts:
+            yield _lines(parts)
+
+    rows.select(*names).mapInArrow(run, "value string").write.options(**_WRITE).text(warc_path)
 
 
 def parse_warc(data: bytes):
@@ -222,9 +236,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     types = ["long", "string", "long", "string", "long", "string", "string", "string"] + ["string"] * payloads
     kinds = [pa.int64() if t == "long" else pa.string() for t in types]
 
+    def emit(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
     def run(batches):
         for data in _inflated(batches):
-            rows = []
+            rows, held = [], 0
             for f, block in parse_warc(data):
                 cut = block.index(b"\r\n\r\n") + 4
                 payload, digest = block[cut:], f["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -235,8 +252,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 row = [key and int(key), f["WARC-Type"], int(f["X-Payload-Length"]), digest, refers and int(refers),
                        f["WARC-Target-URI"], f["WARC-Date"], f["WARC-Record-ID"]]
                 rows.append(row + ([payload.decode() if response else None] if payloads else []))
+                held += len(block) if payloads else 0
+                if held >= SEGMENT_BYTES:
+                    yield emit(rows)
+                    rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                yield emit(rows)
 
     return _files(spark, path).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
 
