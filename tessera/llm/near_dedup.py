@@ -1,7 +1,7 @@
 """Near-duplicate detection with an LSH forest.
 
-A document's set holds its distinct shingles of five words. Documents with equal sets form a class,
-represented by its smallest id. Each representative stands in ``TREES`` orders, each sorted by ``DEPTH`` MinHash
+A document's set holds its distinct shingles of five words. Documents with equal sets form a class, which has a number of its own
+and is represented by its document of the smallest id. Each class stands in ``TREES`` orders, each sorted by ``DEPTH`` MinHash
 values. In an order, a region is a run of representatives with a common prefix: it starts at depth ``SHALLOW``, and where
 more than ``REGION`` share it, it is cut a value deeper, so depth adapts to each region's crowding. Members of a
 region are candidates of one another; a region that was too crowded adds a star from each member to two pivots of it.
@@ -18,8 +18,10 @@ template), all pairs between different components are counted on full sets, bloc
 quadratic in what the rounds leave apart in a crowd; pairs within a component of more than a block are never counted.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer than five words
-are one shingle; very long texts are read whole; a null id has a null component and is kept; rows that repeat an id and text are members each;
-ties go to the smaller id; an empty table gives an empty table; other columns don't matter, whatever their names.
+are one shingle; very long texts are read whole; a component is called by its smallest id (null if it has null ids alone), and one text of it is kept: the one of the smallest
+id, null ids last, of several texts under that id the one of the least hash; rows that repeat an id and text are members each and kept alike
+(``deduplicate`` keeps one of them); different texts under one id are documents of their own; an empty table gives an empty table; other columns don't matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tessera.llm.common import discard, map_arrow, materialise
+from tessera.llm.common import discard, free_name, map_arrow, materialise
 from tessera.llm.components import connected_components
 
 SHINGLE = 5
@@ -91,7 +93,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig`` of each whole text."""
+    """``doc_id, text_hash, n_shingles, digest, sig`` of each whole text."""
     memory: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,10 +101,17 @@ def _sketches(docs: DataFrame) -> DataFrame:
         digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         sig = [signature(s).tobytes() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "sig"])
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
+            names=["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, sig binary", "text")
+    return map_arrow(docs, run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary", "text")
+
+
+def _classes(sketches: DataFrame) -> DataFrame:
+    """``digest, sig, rep, first`` of each class: its number, and the null mark, id and text hash of its first document."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    known = sketches.where("digest IS NOT NULL").groupBy("digest").agg(first, F.any_value("sig").alias("sig"))
+    return known.withColumn("rep", F.monotonically_increasing_id())
 
 
 def _regions(reps: DataFrame, write=materialise) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -172,23 +181,27 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, members: DataFrame, stars: DataFrame, write=materialise) -> DataFrame:
-    """``doc_id, s``: the full sets of representatives that have candidates, read once for both rounds."""
-    needed = members.select(F.col("rep").alias("doc_id")).union(stars.select("a")).union(stars.select("b")).distinct()
+def _sets(docs: DataFrame, reps: DataFrame, members: DataFrame, stars: DataFrame, write=materialise) -> DataFrame:
+    """``rep, s``: the full sets of classes that have candidates, read once for both rounds from their first documents."""
+    needed = members.select("rep").union(stars.select("a")).union(stars.select("b")).distinct()
+    needed = write(reps.select("rep", "first.doc_id", "first.text_hash").join(needed, "rep", "left_semi"), "needed")
     memory: dict = {}
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = shingle_sets(batch.column("text").to_pylist(), memory)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s"])
+        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "s"])
 
-    rows = docs.join(needed, "doc_id", "left_semi")
-    return write(map_arrow(rows, sets, "doc_id long, s binary", "text"), "sets")
+    by = ["doc_id", "text_hash"]
+    rows = docs.join(needed, by).select("rep", "text")
+    nameless = docs.where("doc_id IS NULL").groupBy("text_hash").agg(F.any_value("text").alias("text"))
+    rows = rows.union(nameless.join(needed.where("doc_id IS NULL").select("rep", "text_hash"), "text_hash").select("rep", "text"))
+    return write(map_arrow(rows, sets, "rep long, s binary", "text"), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, write=materialise) -> DataFrame:
     """Pairs whose full sets reach the threshold: 100 * shared >= percent * all."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -258,7 +271,7 @@ def _crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     left = part.join(mixed, "region")
     groups = connected_components(left.select(F.col("rep").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "crowd")
     rows = groups.withColumnRenamed("node", "rep").join(left.select("rep", "c").distinct(), "rep")
-    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep").distinct()
+    rows = rows.join(sets, "rep").distinct()
     rows = write(rows.select("crowd", "c", "rep", "s"), "crowd-sets")
 
     # Components of more than a block have blocks of their own, the others share some.
@@ -280,12 +293,11 @@ def _crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: i
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row: the connected components of documents
-    whose sets' shared part is at least ``percent`` hundredths of their union."""
-    docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """``doc_id, text_hash, n_shingles, component_id, kept`` of each row: the connected components of documents
+    whose sets' shared part is at least ``percent`` hundredths of their union. ``text_hash`` is Spark's xxhash64 of the text."""
+    docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketches = materialise(_sketches(docs), "sketches")
-    known = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
+    reps = materialise(_classes(sketches), "classes")
     made: list[DataFrame] = []
 
     def write(df: DataFrame, name: str) -> DataFrame:
@@ -303,7 +315,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     met = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
     nearest = met.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("n").desc(), "b"))).where("r <= 2")
     first = write(_pairs(nearest), "first")
-    sets = _sets(docs, members, stars, write)
+    sets = _sets(docs, reps, members, stars, write)
     links = _confirm(_likely(first, reps, percent / 100), sets, percent, write)
     joined = write(connected_components(links), "joined")
 
@@ -327,11 +339,31 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
 
     discard(*made)
 
-    classes = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("digest", F.coalesce("component", "rep").alias("component"))
-    rows = sketches.select("doc_id", "n_shingles", "digest")
-    linked = rows.where("digest IS NOT NULL").join(classes, "digest", "left").select("doc_id", "n_shingles", "component")
-    alone = rows.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))  # empty sets meet in no join
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return linked.union(alone).select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    classes = reps.select("digest", "first", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = materialise(classes.select("digest", "first", F.coalesce("component", "rep").alias("c")), "class-components")
+    heads = classes.groupBy("c").agg(F.min("first").alias("head"))
+    classes = classes.join(heads, "c").select("digest", "head")
+    rows = sketches.select("doc_id", "text_hash", "n_shingles", "digest")
+    linked = rows.where("digest IS NOT NULL").join(classes, "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    linked = linked.select("doc_id", "text_hash", "n_shingles", F.col("head.doc_id").alias("component_id"), kept.alias("kept"))
+    alone = rows.where("digest IS NULL")  # empty sets meet in no join
+    return linked.union(alone.select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def deduplicate(documents: DataFrame, key: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``documents`` without near duplicates: one row of each component, and one of rows that repeat an id and text."""
+    found = near_duplicates(documents, key, text_col, percent).select("doc_id", "text_hash", "kept")
+    by, at = free_name(documents, "key"), free_name(documents, "hash")
+    rows = documents.withColumn(by, F.col(key).cast("long")).withColumn(at, F.xxhash64(text_col))
+
+    def meets(other: DataFrame, how: str) -> DataFrame:
+        return rows.join(other, F.col(by).eqNullSafe(other["doc_id"]) & (F.col(at) == other["text_hash"]), how)
+
+    once = found.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    once = materialise(once.where("NOT kept OR n > 1"), "not-kept-once")
+    rows = meets(once.where("NOT kept"), "left_anti")
+    repeated = once.where("kept")
+    if not repeated.isEmpty():
+        rows = meets(repeated, "left_anti").union(meets(repeated, "left_semi").dropDuplicates([by, at]))
+    return rows.select(documents.columns)

@@ -56,7 +56,9 @@ def op4_piece_bpe(spark, d):
 
 @query("op5_lsh_forest")
 def op5_lsh_forest(spark, d):
-    return near_dedup.near_duplicates(table(spark, d, "documents"))
+    found = near_dedup.near_duplicates(table(spark, d, "documents"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), "kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 @query("op6_block_knn")

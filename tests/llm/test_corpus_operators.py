@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and edge cases."""
 
+import gzip
 import hashlib
 import html
 import re
@@ -347,6 +348,22 @@ def test_near_duplicates_in_a_template_crowd(spark, monkeypatch):
     assert len(set(want.values())) == 700 and {r.doc_id: r.component_id for r in out} == want
 
 
+def test_deduplicate_by_rows(spark):
+    """One id on different texts, copies under null ids, repeated rows: rows go by their text, not by their id alone."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "z")
+    rows = [(1, a), (2, b), (2, near), (3, b), (None, a + " end"), (None, c), (None, c.upper()), (None, c + " end"), (4, ""), (4, ""), (5, None),
+            (1, a), (6, " "), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash")).withColumn("_hash", F.lit(1)).repartition(4)
+    out = near_dedup.deduplicate(df)
+    assert out.columns == df.columns
+    left = Counter((r.doc_id, r.text) for r in out.collect())
+    lonely = [t for i, t in left if i is None and t]
+    assert len(lonely) == 1 and lonely[0].lower().startswith(c)
+    assert left - Counter({(None, lonely[0]): 1}) == Counter({(1, a): 1, (2, b): 1, (4, ""): 1, (5, None): 1, (6, " "): 1, (None, None): 1})
+    assert near_dedup.deduplicate(df.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("n, words, low, high", [(200, 86, 9, 13), (600, 400, 6, 9)])
 def test_near_duplicates_of_template_variants(spark, n, words, low, high):
     """Variants of one template, a few linked and most not, in crowds that are cut deeper: components equal brute force."""
@@ -552,7 +569,8 @@ def test_packing_covers_every_token(edge, empty):
 
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    odd = ["ä ̈b", "<|endoftext|>x", "Σας ΣΑΣ it's 'S", "a\x1cb\x85c d e", "İI 12中文", "DON'T x_y__z 1234 é×÷ǅ", "  ", ""]
+    odd = ["ä ̈b", "<|endoftext|>x", "Σας ΣΑΣ it's 'S", "a\x1cb\x85c d e", "İI 12中文", "DON'T x_y__z 1234 é×÷ǅ", "  ", "",
+           "we'll I'VE it'd 's ''t _a_ don't'll a'b <| x", "é'll naïve_ß'S 12é", "a\tb\r\nc  d~`{|}"]
     flat, counts = packing.ChunkTokenizer(path)(odd)
     assert [i.tolist() for i in np.split(flat, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
     rows = packing.pack(edge, path, size=256).collect()
@@ -574,9 +592,43 @@ def test_packing_covers_every_token(edge, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def _brute_plan(lengths, size, quadratic):
+    """The rule of assignment from its definition: every step looks at all sequences."""
+    total = sum(lengths)
+    rest = total % size
+    seqs = [dict(room=size, used=0, cost=0.0) for _ in range(total // size)] + [
+        dict(room=1 << b, used=0, cost=0.0) for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    out, pieces, whole = [], [], 0
+    for doc, n in enumerate(lengths):
+        for k in range(n // size):
+            out.append((doc, k * size, size, whole, 0))
+            seqs[whole].update(room=0, cost=float("inf"))
+            whole += 1
+        if n % size:
+            pieces.append((n % size, doc, n // size * size))
+    for n, doc, start in sorted(pieces, key=lambda p: (-p[0], p[1])):
+        while n:
+            open_ = [i for i, s in enumerate(seqs) if s["room"] >= n] or [i for i, s in enumerate(seqs) if s["room"]]
+            at = min(open_, key=lambda i: (seqs[i]["cost"], i))
+            s = seqs[at]
+            take = min(n, s["room"])
+            out.append((doc, start, take, at, s["used"]))
+            s.update(room=s["room"] - take, used=s["used"] + take, cost=s["cost"] + take + quadratic * take * take)
+            start, n = start + take, n - take
+    return out
+
+
+def test_packing_assigns_by_lowest_cost():
+    rng = np.random.default_rng(19)
+    for _ in range(60):
+        lengths = rng.integers(1, int(rng.choice([5, 40, 300])), rng.integers(1, 60))
+        got = list(zip(*(x.tolist() for x in packing.plan(lengths, 64, 1 / 32))))
+        assert got == _brute_plan(lengths.tolist(), 64, 1 / 32)
+
+
 # ---- archives -----------------------------------------------------------------------------------
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, tmp_path):
     same, big = "<p>same \r\n\r\nWARC/1.0\r\n bytes é</p>", "x" * 5_000_000
     rows = [(1, "http://a.example/x y", same), (2, None, same), (3, "u", None), (4, "u", ""), (5, "u", big), (None, "u", "no key"), (7, "u", "rep"), (7, "u", "rep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
@@ -587,6 +639,16 @@ def test_archives_round_trip(spark):
         want = {i: (t or "") for i, _, t in rows}[r.key].encode()
         assert r.digest == warc.base32_sha1(want) and r.n_bytes == len(want)
     assert warc.archive(pages.where("false")).count() == 0
+    path = str(tmp_path / "arc"), str(tmp_path / "warc")
+    many = spark.createDataFrame([(i, "http://x/\u2003y", f"{i % 9000}" + "z" * 5000) for i in range(9_002)], "page_id long, url string, html string").coalesce(1)
+    warc.write_arc(many, path[0])
+    warc.convert(spark, *path)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "warc").glob("*.gz")]
+    assert len(sizes) > 1 and max(sizes) < (warc.FILE_SEGMENTS + 1) * warc.SEGMENT_BYTES
+    back = warc.read_warc(spark, path[1], payloads=True)
+    assert back.where("target = 'http://x/%E2%80%83y'").count() == 9_002
+    assert {(r.key, r.refers_to) for r in back.where("record_type = 'revisit'").collect()} == {(0, 9000), (1, 9001)}
+    assert back.where("record_type = 'response'").select("key", "payload").exceptAll(many.select("page_id", "html")).isEmpty()
     v1 = b"filedesc://x 0.0.0.0 20240101000000 text/plain 70\n1 0 x\nURL IP-address Archive-date Content-type Archive-length\n" + b" " * 12 + b"\n"
     with pytest.raises(ValueError):
         list(warc.parse_arc(v1 + b"http://a 1.2.3.4 20240101000000 text/html 99\nshort\n"))
