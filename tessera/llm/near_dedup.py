@@ -192,7 +192,7 @@ def _sets(docs: DataFrame, reps: DataFrame, members: DataFrame, stars: DataFrame
         return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in found], pa.binary())], names=["rep", "s"])
 
     by = ["doc_id", "text_hash"]
-    rows = docs.join(needed, by).select("rep", "text")
+    rows = docs.join(needed.hint("merge"), by).select("rep", "text")  # sorted and spilled, whatever the sizes
     nameless = docs.where("doc_id IS NULL").groupBy("text_hash").agg(F.any_value("text").alias("text"))
     rows = rows.union(nameless.join(needed.where("doc_id IS NULL").select("rep", "text_hash"), "text_hash").select("rep", "text"))
     return write(map_arrow(rows, sets, "rep long, s binary", "text"), "sets")
