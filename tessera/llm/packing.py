@@ -8,7 +8,8 @@ sequences, and sequences of powers of two for the rest, so nothing is padded.
 
 No shuffle: a sequence never spans tasks, and a lost task is computed again from its own input with the
 same result. Defined results: null text is an empty text (only the end id); a document longer than a
-sequence is cut; repeated rows are packed each; an empty table gives no rows.
+sequence is cut, however long it is; repeated rows are packed each, and null keys stay null; of sequences of equal cost the first takes the piece, of
+pieces of equal length the earlier document goes first; an empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,9 +67,11 @@ def plan(lengths: np.ndarray, size: int, quadratic: float = QUADRATIC) -> tuple[
 
 
 #: Characters of the plain path: printable ASCII, its white space, and Latin letters that normalisation leaves alone.
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u012f\u0131-\u024f]|<\\|")
-#: The tokenizer's own words, for texts of the plain path (a fixed pattern).
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u012f\u0131-\u024f]")
+_OTHER_ASCII = re.compile("[^\t\n\r\x20-\x7e]")
+#: The tokenizer's own words, for texts of the plain path (a fixed pattern); and the same for ASCII.
+_WORD = re.compile(r"[^\W\d_]+|\d|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+")
+_WORD_ASCII = re.compile(r"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -115,10 +118,13 @@ class ChunkTokenizer:
         """Words of a plain text, or chunks of any other; and which they are."""
         if not text:
             return [], True
-        low = text.lower()
-        if _OTHER.search(text) or not text.isascii() and _OTHER.search(low):
-            return text.replace("\n", " ").split(" "), False
-        return _WORD.findall(low), True
+        low, plain = text.lower(), "<|" not in text
+        if text.isascii():
+            if plain and not _OTHER_ASCII.search(text):
+                return _WORD_ASCII.findall(low), True
+        elif plain and not _OTHER.search(text) and not _OTHER.search(low):
+            return _WORD.findall(low), True
+        return text.replace("\n", " ").split(" "), False
 
     def forget(self) -> None:
         self.memory = _Numbers({"": 0})
