@@ -28,19 +28,36 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
 
 
+#: Rounds whose results are kept apart before they are written as one.
+ROUNDS_APART = 12
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _grown(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """Results of rounds with one more; they are rewritten as one only now and then, as rewriting in each round would cost rounds times rows."""
+    return [*parts, new] if len(parts) < ROUNDS_APART else [cut(_all([*parts, new]))]
+
+
 def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``id, dist, parent`` of every vertex reached from the sources (``id``); the parent is the smallest one."""
     edges = edges.select("src", "dst").distinct()
     seen = cut(sources.select("id").distinct().select("id", F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent")))
-    frontier, depth = seen, 0
+    rounds, frontier, depth = [seen], seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
-        frontier = cut(step.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("id"), F.lit(depth).alias("dist"), "parent"))
+        known = _all(rounds).select(F.col("id").alias("dst"))
+        frontier = cut(step.join(known, "dst", "left_anti").select(F.col("dst").alias("id"), F.lit(depth).alias("dist"), "parent"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier))
-    return seen
+        rounds = _grown(rounds, frontier)
+    return _all(rounds)
 
 
 def k_hop(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
@@ -193,38 +210,108 @@ def clustering(edges: DataFrame) -> DataFrame:
     return degree.join(per, "id", "left").select("id", t.alias("triangles"), F.when(F.col("d") > 1, 2 * t / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("coefficient"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """``id, score``: Brandes' dependencies summed over the sources, level by level for all sources at once.
-
-    State is one row per source and reached vertex: pass all vertices for the exact score, or a set of pivots.
+def _shortest_edges(edges: DataFrame, sources: DataFrame | None, weight: str | None) -> tuple[DataFrame, DataFrame]:
+    """Edges on shortest paths with their number of paths (``s, u, v, x, y``: paths to u and to v), and ``s, id, paths``."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = cut(edges.where("src <> dst").groupBy("src", "dst").agg(F.min(w).alias("w")))
+    if not e.where("w <= 0").isEmpty():
+        raise ValueError("edge weights must be positive")
+    far = all_pairs(e, sources, "w").select("start", "finish", "dist")
+    tail = far.select(F.col("start").alias("s"), F.col("finish").alias("u"), F.col("dist").alias("du"))
+    head = far.select(F.col("start").alias("s"), F.col("finish").alias("v"), F.col("dist").alias("dv"))
+    on = cut(tail.join(e, F.col("u") == F.col("src")).select("s", "u", F.col("dst").alias("v"), (F.col("du") + F.col("w")).alias("dv")).join(head, ["s", "v", "dv"]).select("s", "u", "v"))
+    # Paths of k edges in round k; their sum is the number of paths.
+    front = cut(far.where("start = finish").select(F.col("start").alias("s"), F.col("finish").alias("id"), F.lit(1.0).alias("paths")))
+    rounds = [front]
+    while not front.isEmpty():
+        step = front.withColumnRenamed("id", "u").join(on, ["s", "u"]).groupBy("s", F.col("v").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = cut(step)
+        rounds = _grown(rounds, front)
+    paths = cut(_all(rounds).groupBy("s", "id").agg(F.sum("paths").alias("paths")))
+    both = on.join(paths.select("s", F.col("id").alias("u"), F.col("paths").alias("x")), ["s", "u"])
+    return cut(both.join(paths.select("s", F.col("id").alias("v"), F.col("paths").alias("y")), ["s", "v"]).select("s", "u", "v", "x", "y")), paths
+
+
+def _dependencies(on: DataFrame) -> DataFrame:
+    """``s, id, d``: how much of the shortest paths from s runs on through a vertex. Round k holds the share of paths k edges on."""
+    front = cut(on.groupBy("s", F.col("u").alias("id")).agg(F.sum(F.col("x") / F.col("y")).alias("d")))
+    rounds = [front]
+    while not front.isEmpty():
+        ahead = front.select("s", F.col("id").alias("v"), "d")
+        front = cut(on.join(ahead, ["s", "v"]).groupBy("s", F.col("u").alias("id")).agg(F.sum(F.col("x") / F.col("y") * F.col("d")).alias("d")))
+        rounds = _grown(rounds, front)
+    return _all(rounds).groupBy("s", "id").agg(F.sum("d").alias("d"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, weight: str | None = None, normalised: bool = False) -> DataFrame:
+    """``id, score``: the share of shortest paths through each vertex, by Brandes' dependencies of all sources at once.
+
+    State is one row for each source and reached vertex: without ``sources`` all vertices are, for the exact score; a set of pivots estimates it.
+    ``normalised`` divides by the number of pairs of other vertices.
     """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    seen = cut(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")))
-    frontier, depth, links = seen, 0, []
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(e, F.col("id") == F.col("src")).select("s", "src", "dst", F.col("paths").alias("p"))
-        fresh = cut(step.join(seen.select("s", F.col("id").alias("dst")), ["s", "dst"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        links.append(fresh)
-        frontier = cut(fresh.groupBy("s", F.col("dst").alias("id")).agg(F.sum("p").alias("paths")).select("s", "id", F.lit(depth).alias("dist"), "paths"))
-        seen = cut(seen.unionByName(frontier))
-    paths = seen.select("s", F.col("id").alias("dst"), "paths")
-    delta = None
-    for fresh in reversed(links):
-        rows = fresh.join(paths, ["s", "dst"])
-        if delta is not None:
-            rows = rows.join(delta.select("s", F.col("id").alias("dst"), "delta"), ["s", "dst"], "left")
-        else:
-            rows = rows.withColumn("delta", F.lit(0.0))
-        part = rows.groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("p") / F.col("paths") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("delta"))
-        delta = cut(part if delta is None else delta.unionByName(part))
     ids = vertices(edges)
-    if delta is None:
-        return ids.withColumn("score", F.lit(0.0))
-    score = delta.where("s <> id").groupBy("id").agg(F.sum("delta").alias("score"))
-    return ids.join(score, "id", "left").fillna(0.0, ["score"])
+    on, _ = _shortest_edges(edges, sources, weight)
+    score = _dependencies(on).where("s <> id").groupBy("id").agg(F.sum("d").alias("score"))
+    out = ids.join(score, "id", "left").fillna(0.0, ["score"])
+    if normalised:
+        n = ids.count()
+        out = out.withColumn("score", F.col("score") / F.lit(float(max(1, (n - 1) * (n - 2)))))
+    return out
+
+
+def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """``src, dst, score``: the share of shortest paths through each edge."""
+    on, _ = _shortest_edges(edges, sources, weight)
+    beyond = _dependencies(on).select("s", F.col("id").alias("v"), "d")
+    score = on.join(beyond, ["s", "v"], "left").groupBy(F.col("u").alias("src"), F.col("v").alias("dst")).agg(
+        F.sum(F.col("x") / F.col("y") * (1 + F.coalesce("d", F.lit(0.0)))).alias("score"))
+    return edges.select("src", "dst").where("src <> dst").distinct().join(score, ["src", "dst"], "left").fillna(0.0, ["score"])
+
+
+def all_pairs(edges: DataFrame, sources: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """``start, finish, dist`` of every pair joined by a path, each vertex with itself at 0; negative weights raise.
+
+    State is one row for each pair; ``sources`` (``id``) restricts the starts.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = cut(edges.groupBy("src", "dst").agg(F.min(w).alias("w")))
+    if not e.where("w < 0").isEmpty():
+        raise ValueError("negative edge weight")
+    ids = vertices(edges) if sources is None else sources.select("id").distinct()
+    best = cut(ids.select(F.col("id").alias("start"), F.col("id").alias("finish"), F.lit(0.0).alias("dist")))
+    frontier = best
+    while True:
+        reach = frontier.join(e, F.col("finish") == F.col("src")).groupBy("start", F.col("dst").alias("finish")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
+        after = cut(best.join(reach, ["start", "finish"], "full").select("start", "finish", F.least("dist", "new").alias("dist"),
+                                                                      (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")))
+        best, frontier = after.select("start", "finish", "dist"), after.where("better").select("start", "finish", "dist")
+        if frontier.isEmpty():
+            return best
+
+
+def a_star(edges: DataFrame, source: int, goal: int, left: Column, weight: str | None = None) -> DataFrame:
+    """``id, dist, parent`` of what a search for the goal settles; the goal's row, if it is reached, has the exact distance.
+
+    ``left`` bounds the distance from a vertex (column ``id``) to the goal from below. A round relaxes the whole frontier; vertices whose
+    distance and bound exceed the best distance to the goal so far are searched no further.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = cut(edges.groupBy("src", "dst").agg(F.min(w).alias("w")))
+    if not e.where("w < 0").isEmpty():
+        raise ValueError("negative edge weight")
+    best = cut(edges.sparkSession.createDataFrame([(source, 0.0, None)], "id long, dist double, parent long"))
+    frontier, least = best.select("id", "dist"), float("inf")
+    while True:
+        reach = frontier.where(F.col("dist") + left <= least).join(e, F.col("id") == F.col("src"))
+        reach = reach.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent"))).alias("n"))
+        better = F.col("dist").isNull() | (F.col("n.dist") < F.col("dist"))
+        after = cut(best.join(reach, "id", "full").select("id", F.when(better, F.col("n.dist")).otherwise(F.col("dist")).alias("dist"),
+                                                          F.when(better, F.col("n.parent")).otherwise(F.col("parent")).alias("parent"), better.alias("better")))
+        best, frontier = after.select("id", "dist", "parent"), after.where("better").select("id", "dist")
+        found = best.where(F.col("id") == goal).first()
+        least = found["dist"] if found else least
+        if frontier.isEmpty():
+            return best
 
 
 def match_path(edges: DataFrame, names: Sequence[str], where: Sequence[Column | None] | None = None, labels: Sequence[str | None] | None = None) -> DataFrame:

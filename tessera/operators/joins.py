@@ -2,7 +2,7 @@
 
 All are compositions of DataFrame operations. Keys may be skewed: the as-of join deals a key's rows to
 time buckets and carries the last value between buckets, and the inequality join to bins, so no key is gathered
-in one task when a bucket width is given.
+in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera.session import cut
+
 
 def _seconds(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / 1_000_000
@@ -22,13 +24,17 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
 
     Left rows always stay; times further than ``tolerance`` (in units of ``on``, seconds for timestamps) give nulls; bounds
     are inclusive. Of right rows with equal times the one of the smallest ``tie`` wins backward, the largest forward.
-    ``bucket`` (same units) spreads each key over time buckets. Right columns get ``prefix``; ``by`` columns come once.
+    ``bucket`` (same units) spreads each key over time buckets; by default as many buckets as there are shuffle partitions cover the right side's span,
+    and 0 leaves each key in one task. Right columns get ``prefix``; ``by`` columns come once.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction is 'backward' or 'forward'")
     forward, by = direction == "forward", list(by)
     is_time = dict(left.dtypes)[on].startswith(("timestamp", "date"))
     number = (lambda c: _seconds(F.col(c))) if is_time else (lambda c: F.col(c).cast("double"))
+    if bucket is None:
+        span = right.select(number(on).alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+        bucket = (span["b"] - span["a"]) / int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) if span["a"] is not None else 0
     values = [c for c in right.columns if c not in by]
     packed = F.struct(*values)
     kept = F.struct(*left.columns)
@@ -113,8 +119,7 @@ def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     """
     spark = df.sparkSession
     placed = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    placed = placed.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    placed = placed.persist()  # partitions must be the same in both uses
+    placed = cut(placed.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))  # numbered once
     counts = sorted((r["_p"], r["n"], r["f"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("f")).collect())
     start, rows = 0, []
     for p, n, first in counts:
@@ -124,6 +129,22 @@ def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     return placed.join(F.broadcast(shift), "_p").withColumn(name, F.col("_i") + F.col("_shift")).drop("_p", "_i", "_shift")
 
 
+def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """Rank of each row in the order of the whole table (equal rows share one, then a gap), without one task seeing all rows.
+
+    Equal rows meet in one range of the order; what stands before a range is summed on the driver from the sizes of ranges.
+    """
+    spark = df.sparkSession
+    placed = cut(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id()))
+    start, rows = 0, []
+    for r in placed.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():
+        rows.append((r["_p"], start))
+        start += r["n"]
+    before = spark.createDataFrame(rows, "_p int, _before long")
+    rank = F.rank().over(W.partitionBy("_p").orderBy(*order)).cast("long")
+    return placed.withColumn(name, rank).join(F.broadcast(before), "_p").withColumn(name, F.col(name) + F.col("_before")).drop("_p", "_before")
+
+
 def positional_join(left: DataFrame, right: DataFrame, left_order: Sequence, right_order: Sequence) -> DataFrame:
     """Rows side by side by their position in the orders; the shorter side is padded with nulls."""
     a, b = row_positions(left, left_order, "_pos"), row_positions(right, right_order, "_pos")

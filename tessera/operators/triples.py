@@ -6,11 +6,14 @@ is a triple of terms and variables (strings that start with ``?``); solutions ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.operators import graph
+from tessera.session import cut
 
 _TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
 
@@ -23,6 +26,117 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return line.where(ok).select(*[F.regexp_extract("v", full, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))])
 
 
+def read_nquads(spark: SparkSession, path: str) -> DataFrame:
+    """``s, p, o, g`` of N-Quads files; the graph is null for triples. Other lines raise as for N-Triples."""
+    line = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' AND v NOT LIKE '#%'")
+    full = rf"^{_TERM}\s+(<[^>]*>)\s+{_TERM}(?:\s+(<[^>]*>|_:\S+))?\s*\.\s*(?:#.*)?$"
+    ok = F.when(F.col("v").rlike(full), True).otherwise(F.raise_error(F.concat(F.lit("not an N-Quads line: "), "v")).cast("boolean"))
+    parts = [F.regexp_extract("v", full, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"), (4, "g"))]
+    return line.where(ok).select(*parts).withColumn("g", F.nullif("g", F.lit("")))
+
+
+#: Tokens of Turtle: strings, iris, prefixed names, numbers, punctuation; comments and white space are passed over.
+_TURTLE = re.compile(r'''"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|<[^>\s]*>|@?[A-Za-z_][\w.-]*(?<!\.):?[\w.%-]*(?<!\.)|:[\w.%-]*(?<!\.)|@[A-Za-z-]+|\^\^|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|[.;,\[\]()]|#[^\n]*|\S''')
+
+
+def turtle_triples(text: str) -> list[tuple[str, str, str]]:
+    """Triples of one Turtle document: prefixes, base, ``a``, lists of predicates and objects, literals, blank nodes; collections raise."""
+    tokens = [t for t in _TURTLE.findall(text) if not t.startswith("#")]
+    prefixes, base, out, blanks, at = {}, "", [], 0, 0
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+
+    def iri(t: str) -> str:
+        if t.startswith("<"):
+            return t if ":" in t else f"<{base}{t[1:]}"
+        name, _, rest = t.partition(":")
+        if name not in prefixes:
+            raise ValueError(f"unknown prefix in {t}")
+        return f"<{prefixes[name]}{rest}>"
+
+    def term() -> str:
+        nonlocal at, blanks
+        t, at = tokens[at], at + 1
+        if t == "[":
+            blanks += 1
+            node = f"_:t{blanks}"
+            if tokens[at] != "]":
+                predicates(node)
+            if tokens[at] != "]":
+                raise ValueError("a blank node isn't closed")
+            at += 1
+            return node
+        if t.startswith('"'):
+            body = t[3:-3].replace('"', '\\"').replace("\n", "\\n") if t.startswith('"""') else t[1:-1]
+            if at < len(tokens) and tokens[at] == "^^":
+                kind, at = iri(tokens[at + 1]), at + 2
+                return f'"{body}"^^{kind}'
+            if at < len(tokens) and tokens[at].startswith("@"):
+                tag, at = tokens[at], at + 1
+                return f'"{body}"{tag}'
+            return f'"{body}"'
+        if re.fullmatch(r"[-+]?\d+", t):
+            return f'"{t}"^^<{xsd}integer>'
+        if re.fullmatch(r"[-+]?\d+\.\d+", t):
+            return f'"{t}"^^<{xsd}decimal>'
+        if re.fullmatch(r"[-+]?\d+(\.\d+)?[eE][-+]?\d+", t):
+            return f'"{t}"^^<{xsd}double>'
+        if t in ("true", "false"):
+            return f'"{t}"^^<{xsd}boolean>'
+        if t == "a":
+            return "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+        if t.startswith("_:"):
+            return t
+        if t.startswith("<") or ":" in t:
+            return iri(t)
+        raise ValueError(f"unexpected {t} in Turtle")
+
+    def predicates(subject: str) -> None:
+        nonlocal at
+        while True:
+            predicate = term()
+            while True:
+                out.append((subject, predicate, term()))
+                if tokens[at] != ",":
+                    break
+                at += 1
+            while tokens[at] == ";":
+                at += 1
+            if tokens[at] in ".]":
+                return
+            if tokens[at - 1] != ";":
+                raise ValueError(f"unexpected {tokens[at]} in Turtle")
+
+    while at < len(tokens):
+        word = tokens[at].lower()
+        if word in ("@prefix", "prefix"):
+            prefixes[tokens[at + 1].rstrip(":")], at = tokens[at + 2][1:-1], at + 3
+        elif word in ("@base", "base"):
+            base, at = tokens[at + 1][1:-1], at + 2
+        else:
+            subject = term()
+            if tokens[at] != ".":
+                predicates(subject)
+        if at < len(tokens) and tokens[at] == ".":
+            at += 1
+    return out
+
+
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of Turtle files. A file's prefixes hold to its end, so each is read whole by one task; blank nodes are told apart by file."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
+                own = lambda t: f"_:{name}{t[2:]}" if t.startswith("_:") else t
+                rows += [(own(s), p, own(o)) for s, p, o in turtle_triples(text)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["s", "p", "o"])
+
+    files = spark.read.option("wholetext", True).text(path).select(F.substring(F.md5(F.input_file_name()), 1, 12).alias("name"), "value")
+    return files.mapInArrow(run, "s string, p string, o string")
+
+
 def write_ntriples(triples: DataFrame, path: str) -> None:
     triples.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value")).write.text(path)
 
@@ -40,21 +154,51 @@ def match(triples: DataFrame, s: str, p: str, o: str) -> DataFrame:
     return df.select(*[F.col(c).alias(v) for v, c in out.items()]) if out else df.select(F.lit(True).alias("_matched")).limit(1)
 
 
-def join_solutions(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Solutions joined on their shared variables; without any, every pair."""
+def join_solutions(a: DataFrame, b: DataFrame, how: str = "inner", unbound: Sequence[str] = ()) -> DataFrame:
+    """Solutions joined on their shared variables; without any, every pair.
+
+    ``unbound`` names shared variables that may be null on either side (after OPTIONAL or UNION): unbound agrees with every value. The sides
+    are split by which of those are bound, so each part is a join on equal values.
+    """
     shared = [c for c in a.columns if c in b.columns]
-    return a.join(b, shared, how) if shared else a.join(b, F.lit(True), how)
+    loose = [c for c in unbound if c in shared]
+    if not loose:
+        return a.join(b, shared, how) if shared else a.join(b, F.lit(True), how)
+    if how not in ("inner", "left"):
+        raise ValueError("how is 'inner' or 'left'")
+    a = cut(a.withColumn("_row", F.monotonically_increasing_id()))
+    names = [c for c in dict.fromkeys([*a.columns, *b.columns])]
+    out = None
+    bound = lambda df, mask: df.where(F.lit(True) if not loose else F.expr(" AND ".join(f"`{c}` IS {'NOT ' if m else ''}NULL" for c, m in zip(loose, mask))))
+    masks = [[bool(i >> k & 1) for k in range(len(loose))] for i in range(1 << len(loose))]
+    for mine in masks:
+        for theirs in masks:
+            both = [c for c, x, y in zip(loose, mine, theirs) if x and y]
+            on = [c for c in shared if c not in loose or c in both]
+            left = bound(a, mine).drop(*[c for c, x, y in zip(loose, mine, theirs) if not x])
+            right = bound(b, theirs).drop(*[c for c, x, y in zip(loose, mine, theirs) if x and not y])
+            part = left.join(right, on) if on else left.join(right, F.lit(True))
+            part = part.select(*[c if c in part.columns else F.lit(None).cast(dict([*a.dtypes, *b.dtypes])[c]).alias(c) for c in names])
+            out = part if out is None else out.union(part)
+    if how == "left":
+        out = cut(out)
+        out = out.unionByName(a.join(out.select("_row").distinct(), "_row", "left_anti"), allowMissingColumns=True)
+    return out.drop("_row")
 
 
 def basic_pattern(triples: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
-    out = match(triples, *patterns[0])
-    for pattern in patterns[1:]:
-        out = join_solutions(out, match(triples, *pattern))
+    """Solutions of all patterns at once; patterns that share a variable with those before are joined first, so every pair arises only
+    where patterns have nothing in common at all."""
+    out, left = match(triples, *patterns[0]), list(patterns[1:])
+    while left:
+        at = next((i for i, p in enumerate(left) if any(t.startswith("?") and t[1:] in out.columns for t in p)), 0)
+        out = join_solutions(out, match(triples, *left.pop(at)))
     return out
 
 
-def optional(a: DataFrame, b: DataFrame) -> DataFrame:
-    return join_solutions(a, b, "left")
+def optional(a: DataFrame, b: DataFrame, unbound: Sequence[str] = ()) -> DataFrame:
+    """a with the solutions of b that agree, or alone; ``unbound`` as in ``join_solutions``."""
+    return join_solutions(a, b, "left", unbound)
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:

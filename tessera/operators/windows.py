@@ -59,7 +59,9 @@ def sample_by(df: DataFrame, on: str, step: str, aggs: dict[str, Column], by: Se
     if fill is None:
         return got
     span = got.groupBy(*by).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
-    grid = span.select(*by, F.explode(F.expr(f"sequence(_a, _b, interval {step})")).alias("ts"))
+    # In runs of a thousand steps, so no row holds a key's whole grid.
+    runs = span.select(*by, "_b", F.explode(F.expr(f"sequence(_a, _b, 1000 * interval {step})")).alias("_a"))
+    grid = runs.select(*by, F.explode(F.expr(f"sequence(_a, least(_b, _a + 999 * interval {step}), interval {step})")).alias("ts"))
     out = grid.join(got, [*by, "ts"], "left")
     if fill == "null":
         return out

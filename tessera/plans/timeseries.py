@@ -140,13 +140,13 @@ def first_by(spark, d):
     return windows.earliest_by(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
-_DAYS = """got AS (SELECT event_type, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS v FROM events WHERE user_id % 7 = 0 GROUP BY 1, 2),
-grid AS (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM got GROUP BY event_type),
+_DAYS = """got AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round(avg(value), 6) AS v FROM events GROUP BY 1, 2),
+grid AS (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL 15 MINUTE)) AS ts FROM got GROUP BY event_type),
 filled AS (SELECT event_type, ts, v FROM grid LEFT JOIN got USING (event_type, ts))"""
 
 
 def _sampled(spark, d, fill):
-    return windows.sample_by(table(spark, d, "events").where("user_id % 7 = 0"), "ts", "1 hour", {"v": F.round(F.avg("value"), 6)}, ["event_type"], fill)
+    return windows.sample_by(table(spark, d, "events"), "ts", "15 minutes", {"v": F.round(F.avg("value"), 6)}, ["event_type"], fill)
 
 
 @query("sample_by_fill_null", f"WITH {_DAYS} SELECT * FROM filled")

@@ -36,9 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir, its lineage ended; a temporary folder where that is unset."""
-    context = df.sparkSession.sparkContext
+    """``df`` written to the checkpoint folder, its lineage ended."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in a local session, and an error on a cluster."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(base or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

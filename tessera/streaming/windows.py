@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tessera.operators import windows
-from tessera.session import cut
+from tessera.session import checkpoint_folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir."""
-    cut(spark.range(1))  # sets the folder where the session has none
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -101,18 +100,42 @@ def keyed_fold(df: DataFrame, key: str, value: str, alpha: float = 0.5) -> DataF
 
 def split_late(batch: DataFrame, on: str, watermark) -> tuple[DataFrame, DataFrame]:
     """Rows on time and late ones, inside foreachBatch, against a watermark value."""
-    late = F.col(on) < F.lit(watermark)
+    late = F.coalesce(F.col(on) < F.lit(watermark), F.lit(False))
     return batch.where(~late), batch.where(late)
 
 
-def with_dead_letters(process: Callable[[DataFrame, int], None], dead_letter_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that sets a failing batch aside with its error instead of stopping the stream."""
+def with_dead_letters(process: Callable[[DataFrame, int], None], valid: Column, dead_letter_path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that sets the rows that aren't ``valid`` aside and processes the others.
+
+    Failures of ``process`` itself stop the stream, so that it is retried from its checkpoint. A batch that runs again replaces what it set aside.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        good = F.coalesce(valid, F.lit(False))
+        batch.where(~good).write.mode("overwrite").parquet(f"{dead_letter_path}/batch={n}")
+        process(batch.where(good), n)
+
+    return run
+
+
+def late_rows(df: DataFrame, on: str, delay: str, late_path: str, process: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes rows older than the newest time of earlier batches less ``delay`` to ``late_path``.
+
+    The newest time is kept beside them, so a restarted stream goes on from it; a batch that runs again finds the same value.
+    """
+    spark = df.sparkSession
 
     def run(batch: DataFrame, n: int) -> None:
-        try:
+        before = spark.read.schema("newest timestamp, batch long").parquet(f"{late_path}/newest").where(F.col("batch") < n).agg(F.max("newest")).first()[0] if n else None
+        newest = batch.agg(F.max(F.col(on).cast("timestamp"))).first()[0]
+        newest = max((x for x in (before, newest) if x is not None), default=None)
+        spark.createDataFrame([(newest, n)], "newest timestamp, batch long").write.mode("overwrite").parquet(f"{late_path}/newest/part={n}")
+        if before is None:
             process(batch, n)
-        except Exception as error:  # the sink's contract: any failure of the batch is recorded
-            batch.withColumn("error", F.lit(str(error)[:2000])).write.mode("overwrite").parquet(f"{dead_letter_path}/batch={n}")
+            return
+        on_time, late = split_late(batch, on, F.lit(before) - F.expr(f"interval {delay}"))
+        late.write.mode("overwrite").parquet(f"{late_path}/rows/batch={n}")
+        process(on_time, n)
 
     return run
 
