@@ -320,11 +320,12 @@ def hayashi_yoshida(a: DataFrame, b: DataFrame, by: Sequence[str], bucket: float
 
 
 def lead_lag(df: DataFrame, a: str, b: str, ax: Axis, reach: int = 10, n: int = 50) -> DataFrame:
-    """``lag`` in -reach..reach with the largest absolute correlation of ``a`` with ``b`` shifted, over the last n rows, and ``lag_corr``."""
+    """``lag`` in -reach..reach with the largest absolute correlation of ``a`` with ``b`` shifted, over the last n rows, and ``lag_corr``;
+    of equal ones (to nine digits) the nearest lag, and of two as near the later."""
     shifts = {k: f"_b{k + reach}" for k in range(-reach, reach + 1)}
     df = df.withColumns({name: F.lag(b, k).over(ax.w) for k, name in shifts.items()})
     df = df.withColumns({f"_r{name}": correlation(F.col(a), F.col(name), ax.last(n)) for name in shifts.values()})
-    found = [F.struct(F.abs(f"_r{name}").alias("m"), F.lit(-abs(k)).alias("near"), F.lit(k).alias("k"), F.col(f"_r{name}").alias("c")) for k, name in shifts.items()]
+    found = [F.struct(F.round(F.abs(f"_r{name}"), 9).alias("m"), F.lit(-abs(k)).alias("near"), F.lit(k).alias("k"), F.col(f"_r{name}").alias("c")) for k, name in shifts.items()]
     df = df.withColumn("_best", F.array_max(F.filter(F.array(*found), lambda s: s["m"].isNotNull())))
     return df.withColumn("lag", F.col("_best.k")).withColumn("lag_corr", F.col("_best.c")).drop("_best", *shifts.values(), *[f"_r{n}" for n in shifts.values()])
 
@@ -357,35 +358,56 @@ def recurrent(df: DataFrame, by: Sequence[str], order: Sequence[str], inputs: Se
     return dealt.mapInPandas(run, schema)
 
 
+#: Rows of a block of a linear recurrence.
+LINEAR_BLOCK = 64
+
+
+def linear(x: np.ndarray, decay: float, before: float = 0.0) -> np.ndarray:
+    """v = decay v + x along x, from ``before``: a triangular product for each block, and one number carried between blocks."""
+    n = len(x)
+    m = -(-n // LINEAR_BLOCK) if n else 0
+    lag = np.subtract.outer(np.arange(LINEAR_BLOCK), np.arange(LINEAR_BLOCK))
+    weights = np.where(lag >= 0, float(decay) ** np.maximum(lag, 0), 0.0)
+    blocks = np.zeros((m, LINEAR_BLOCK))
+    blocks.reshape(-1)[:n] = x
+    out = blocks @ weights.T
+    fade, carry = float(decay) ** np.arange(1, LINEAR_BLOCK + 1), before
+    for row in out:
+        row += fade * carry
+        carry = row[-1]
+    return out.reshape(-1)[:n]
+
+
+def _mean(x: np.ndarray, rate: float, before: float | None) -> np.ndarray:
+    """Exponential mean that starts at the first value."""
+    steps = rate * x
+    if before is None and len(x):
+        steps[0] = x[0]
+    return linear(steps, 1 - rate, before or 0.0)
+
+
 def ewma_step(alpha: float) -> Callable:
     """v = alpha x + (1 - alpha) v, from the first value."""
 
     def step(x, s):
-        out, v = np.empty((len(x), 1)), s.get("v")
-        for i, (a,) in enumerate(x.tolist()):
-            v = a if v is None else alpha * a + (1 - alpha) * v
-            out[i] = v
-        s["v"] = v
-        return out
+        out = _mean(x[:, 0], alpha, s.get("v"))
+        s["v"] = out[-1]
+        return out[:, None]
 
     return step
 
 
 def ewcov_step(alpha: float) -> Callable:
-    """cov = (1 - alpha)(cov + alpha dx (y - mean_y)), dx before and mean_y after the means move."""
+    """Covariance by exponential means: what it was and alpha times the product of the deviations, x's before and y's after the
+    means take the row in, both faded by 1 - alpha."""
 
     def step(x, s):
-        out = np.empty((len(x), 1))
         mx, my, cov = s.get("m", (None, None, 0.0))
-        for i, (a, b) in enumerate(x.tolist()):
-            if mx is None:
-                mx, my = a, b
-            dx = a - mx
-            mx, my = mx + alpha * dx, my + alpha * (b - my)
-            cov = (1 - alpha) * (cov + alpha * dx * (b - my))
-            out[i] = cov
-        s["m"] = mx, my, cov
-        return out
+        means = [_mean(x[:, k], alpha, m) for k, m in ((0, mx), (1, my))]
+        last = np.r_[x[0, 0] if mx is None else mx, means[0][:-1]]
+        out = linear((1 - alpha) * alpha * (x[:, 0] - last) * (x[:, 1] - means[1]), 1 - alpha, cov)
+        s["m"] = means[0][-1], means[1][-1], out[-1]
+        return out[:, None]
 
     return step
 
@@ -395,16 +417,11 @@ def macd_step(fast: int = 12, slow: int = 26, signal: int = 9) -> Callable:
     rates = [2 / (n + 1) for n in (fast, slow, signal)]
 
     def step(x, s):
-        out = np.empty((len(x), 3))
         f, w, g = s.get("m", (None, None, None))
-        for i, (a,) in enumerate(x.tolist()):
-            f = a if f is None else f + rates[0] * (a - f)
-            w = a if w is None else w + rates[1] * (a - w)
-            m = f - w
-            g = m if g is None else g + rates[2] * (m - g)
-            out[i] = m, g, m - g
-        s["m"] = f, w, g
-        return out
+        f, w = _mean(x[:, 0], rates[0], f), _mean(x[:, 0], rates[1], w)
+        g = _mean(f - w, rates[2], g)
+        s["m"] = f[-1], w[-1], g[-1]
+        return np.stack([f - w, g, f - w - g], axis=1)
 
     return step
 
@@ -413,16 +430,12 @@ def rsi_step(period: int = 14) -> Callable:
     """Relative strength by Wilder's means (alpha 1 / period); 50 before any move."""
 
     def step(x, s):
-        out = np.empty((len(x), 1))
-        last, up, down = s.get("m", (None, 0.0, 0.0))
-        for i, (a,) in enumerate(x.tolist()):
-            d = 0.0 if last is None else a - last
-            up += (max(d, 0.0) - up) / period
-            down += (max(-d, 0.0) - down) / period
-            out[i] = 100 * up / (up + down) if up + down > 0 else 50.0
-            last = a
-        s["m"] = last, up, down
-        return out
+        last, up, down = s.get("m", (x[0, 0], 0.0, 0.0))
+        move = np.diff(x[:, 0], prepend=last)
+        up, down = (linear(np.maximum(d, 0.0) / period, 1 - 1 / period, m) for d, m in ((move, up), (-move, down)))
+        both = up + down
+        s["m"] = x[-1, 0], up[-1], down[-1]
+        return np.where(both > 0, 100 * up / np.where(both > 0, both, 1.0), 50.0)[:, None]
 
     return step
 
@@ -451,18 +464,16 @@ def riskmetrics_step(lam: float = 0.94) -> Callable:
     """sqrt(lam s2 + (1 - lam) r2), from r2."""
 
     def step(x, s):
-        out, v = np.empty((len(x), 1)), s.get("v")
-        for i, (r,) in enumerate(x.tolist()):
-            v = r * r if v is None else lam * v + (1 - lam) * r * r
-            out[i] = math.sqrt(v)
-        s["v"] = v
-        return out
+        out = _mean(x[:, 0] ** 2, 1 - lam, s.get("v"))
+        s["v"] = out[-1]
+        return np.sqrt(np.maximum(out, 0.0))[:, None]
 
     return step
 
 
 def vpin_step(bucket: float = 100_000.0) -> Callable:
-    """|buys - sells| / volume in the current volume bucket, which restarts once full; inputs: volume, side."""
+    """Share of the volume by which one side outweighs the other in the volume bucket being filled; a bucket that is full is the last row's,
+    and the next row begins another. Inputs: volume, side."""
 
     def step(x, s):
         out = np.empty((len(x), 1))
@@ -479,6 +490,11 @@ def vpin_step(bucket: float = 100_000.0) -> Callable:
     return step
 
 
+def pairs_spread(a: Column, b: Column, ratio: Column | float = 1.0) -> Column:
+    """What is left of a price after the hedge by another."""
+    return a - b * ratio
+
+
 def hedge_ratio_step(q: float = 0.001, r: float = 0.1) -> Callable:
     """Kalman hedge ratio of a on b from ratio 1 and variance 1: ratio and spread."""
 

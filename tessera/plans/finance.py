@@ -146,15 +146,87 @@ def recursive(name: str, inputs, outputs, step, sql=None, pick=None):
 recursive("fin_ewma", ["price"], ["ewma"], fin.ewma_step(0.94), "round(list_reduce(xs, lambda v, x: 0.94 * x + 0.06 * v), 6) AS ewma")
 recursive("fin_ema", ["price"], ["ema"], fin.ewma_step(0.2), "round(list_reduce(xs, lambda v, x: 0.2 * x + 0.8 * v), 6) AS ema")
 recursive("fin_riskmetrics", ["r"], ["vol"], fin.riskmetrics_step(), "round(sqrt(list_reduce(list_transform(rs, lambda x: x * x), lambda v, x: 0.94 * v + 0.06 * x)), 6) AS vol")
-recursive("fin_ewcov", ["price", "volume"], ["ewcov"], fin.ewcov_step(0.1))
-recursive("fin_macd", ["price"], ["macd", "signal", "hist"], fin.macd_step())
-recursive("fin_rsi", ["price"], ["rsi"], fin.rsi_step())
-recursive("fin_kalman", ["price"], ["kalman"], fin.kalman_step(0.01, 1.0))
-recursive("fin_vpin", ["volume", "side"], ["vpin"], fin.vpin_step(200.0))
-recursive("fin_hedge_ratio", ["price", "volume"], ["beta", "spread"], fin.hedge_ratio_step())
 
 
-@query("fin_lead_lag")
+def stepped(name: str, inputs, outputs, step, start: str, follow: str, shown: str) -> None:
+    """Registers a recursive filter of which every row counts; its SQL goes row by row: ``start`` gives the first row's state, ``follow`` the
+    next one's from the state ``s`` and the row ``n``, and ``shown`` the outputs."""
+
+    def run(spark, d):
+        rows = ticks(spark, d).withColumn("side", F.when(F.col("bs") > 9, 1.0).otherwise(-1.0))
+        out = fin.recurrent(rows.select("event_id", "user_id", "ts", *inputs), ["user_id"], ["ts", "event_id"], inputs, outputs, step)
+        return out.select("event_id", *[(F.round(F.col(o) + 2e-9, 8) + 0.0).alias(o) for o in outputs])
+
+    QUERIES[name] = (run, f"""WITH RECURSIVE {TICKS_SQL}, n AS MATERIALIZED (SELECT *, CASE WHEN bs > 9 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side,
+row_number() OVER ({AX_SQL}) AS i FROM ticks), s AS (SELECT event_id, user_id, i, {start} FROM n WHERE i = 1
+UNION ALL SELECT n.event_id, n.user_id, n.i, {follow} FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1)
+SELECT event_id, {", ".join(f"round(({e}) + 2e-9, 8) + 0.0 AS {o}" for o, e in zip(outputs, shown.split("; ")))} FROM s""")
+
+
+def _mean_sql(old: str, new: str, rate: str) -> str:
+    return f"{old} + {rate} * ({new} - {old})"
+
+
+stepped("fin_ewcov", ["price", "volume"], ["ewcov"], fin.ewcov_step(0.1), "price AS mx, volume AS my, 0.0::DOUBLE AS cov",
+        f"{_mean_sql('s.mx', 'n.price', '0.1::DOUBLE')}, {_mean_sql('s.my', 'n.volume', '0.1::DOUBLE')}, "
+        f"0.9::DOUBLE * (s.cov + 0.1::DOUBLE * (n.price - s.mx) * (n.volume - ({_mean_sql('s.my', 'n.volume', '0.1::DOUBLE')})))", "cov")
+_F, _S, _G = "(2.0::DOUBLE / 13)", "(2.0::DOUBLE / 27)", "0.2::DOUBLE"
+_M = f"(({_mean_sql('s.f', 'n.price', _F)}) - ({_mean_sql('s.w', 'n.price', _S)}))"
+stepped("fin_macd", ["price"], ["macd", "signal", "hist"], fin.macd_step(), "price AS f, price AS w, 0.0::DOUBLE AS g",
+        f"{_mean_sql('s.f', 'n.price', _F)}, {_mean_sql('s.w', 'n.price', _S)}, {_mean_sql('s.g', _M, _G)}", "f - w; g; f - w - g")
+stepped("fin_rsi", ["price"], ["rsi"], fin.rsi_step(), "price AS p, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down",
+        "n.price, s.up + (greatest(n.price - s.p, 0) - s.up) / 14, s.down + (greatest(s.p - n.price, 0) - s.down) / 14", "CASE WHEN up + down > 0 THEN 100 * up / (up + down) ELSE 50 END")
+stepped("fin_kalman", ["price"], ["kalman"], fin.kalman_step(0.01, 1.0), "price AS v, 1.0::DOUBLE AS p",
+        "s.v + (s.p + 0.01::DOUBLE) / (s.p + 1.01::DOUBLE) * (n.price - s.v), (1 - (s.p + 0.01::DOUBLE) / (s.p + 1.01::DOUBLE)) * (s.p + 0.01::DOUBLE)", "v")
+_FULL = "CASE WHEN s.buy + s.sell >= 200 THEN 0.0::DOUBLE ELSE {} END + CASE WHEN n.side {} 0 THEN n.volume ELSE 0 END"
+stepped("fin_vpin", ["volume", "side"], ["vpin"], fin.vpin_step(200.0), "CASE WHEN side > 0 THEN volume ELSE 0.0::DOUBLE END AS buy, CASE WHEN side < 0 THEN volume ELSE 0.0::DOUBLE END AS sell",
+        f"{_FULL.format('s.buy', '>')}, {_FULL.format('s.sell', '<')}", "abs(buy - sell) / (buy + sell)")
+_P = "(s.p + 0.001::DOUBLE)"
+_K = f"({_P} * n.volume / (n.volume * n.volume * {_P} + 0.1::DOUBLE))"
+_K1 = "(1.001::DOUBLE * volume / (volume * volume * 1.001::DOUBLE + 0.1::DOUBLE))"
+stepped("fin_hedge_ratio", ["price", "volume"], ["beta", "spread"], fin.hedge_ratio_step(),
+        f"1 + {_K1} * (price - volume) AS beta, (1 - {_K1} * volume) * 1.001::DOUBLE AS p, price, volume",
+        f"s.beta + {_K} * (n.price - s.beta * n.volume), (1 - {_K} * n.volume) * {_P}, n.price, n.volume", "beta; price - beta * volume")
+
+_LAGS = list(range(-3, 4))
+_SHIFTS = ", ".join(f"lag(volume, {k}) OVER ({AX_SQL}) AS b{k + 3}" for k in _LAGS)
+
+
+def _corr_sql(b: str) -> str:
+    x, y = f"CASE WHEN {b} IS NOT NULL THEN price END", b
+    spread = f"(stddev_pop({x}) OVER ({last(10)}) * stddev_pop({y}) OVER ({last(10)}))"
+    return f"covar_pop({x}, {y}) OVER ({last(10)}) / nullif({spread}, 0)"
+
+
+@query("fin_lead_lag", f"""WITH {TICKS_SQL}, shifted AS (SELECT *, {_SHIFTS} FROM ticks),
+corrs AS (SELECT event_id, {", ".join(f"{_corr_sql(f'b{k + 3}')} AS c{k + 3}" for k in _LAGS)} FROM shifted),
+best AS (SELECT event_id, list_max(list_filter([{", ".join(f"{{'m': round(abs(c{k + 3}), 9), 'near': {-abs(k)}, 'k': {k}, 'c': c{k + 3}}}" for k in _LAGS)}], lambda s: s.m IS NOT NULL)) AS s FROM corrs)
+SELECT event_id, s.k::INT AS lag, round(s.c + 2e-9, 8) + 0.0 AS lag_corr FROM best""")
 def fin_lead_lag(spark, d):
     out = fin.lead_lag(ticks(spark, d), "price", "volume", axis(), reach=3, n=10)
-    return out.select("event_id", "lag", F.round("lag_corr", 6).alias("lag_corr"))
+    return out.select("event_id", "lag", (F.round(F.col("lag_corr") + 2e-9, 8) + 0.0).alias("lag_corr"))
+
+
+closed("fin_pairs_spread", lambda ax: {"spread": fin.pairs_spread(c("ask"), c("bid"), 1.5)}, "round(ask - bid * 1.5, 6) AS spread")
+
+
+@query("fin_rolling_skew_kurt", f"""WITH {TICKS_SQL}, w AS (SELECT event_id, list(price) OVER ({last(8)}) AS xs FROM ticks),
+m AS (SELECT event_id, xs, list_avg(xs) AS mean FROM w),
+q AS (SELECT event_id, list_avg(list_transform(xs, lambda x: (x - mean) ** 2)) AS m2, list_avg(list_transform(xs, lambda x: (x - mean) ** 3)) AS m3, list_avg(list_transform(xs, lambda x: (x - mean) ** 4)) AS m4 FROM m)
+SELECT event_id, round(m3 / nullif(m2, 0) ** 1.5 + 2e-7, 5) + 0.0 AS skew, round(m4 / nullif(m2, 0) ** 2 - 3 + 2e-7, 5) + 0.0 AS kurt FROM q""")
+def fin_rolling_skew_kurt(spark, d):
+    x, ax = F.col("price"), axis()
+    return ticks(spark, d).select("event_id", (F.round(fin.rolling(x, ax, "skew", 8) + 2e-7, 5) + 0.0).alias("skew"),
+                                  (F.round(fin.rolling(x, ax, "kurt", 8) + 2e-7, 5) + 0.0).alias("kurt"))
+
+
+_PREVIOUS = f"(SELECT *, lag(price) OVER ({AX_SQL}) AS before FROM ticks)"
+_HAVING = "CASE WHEN before IS NOT NULL THEN price END"
+QUERIES["fin_autocorrelation"] = (
+    lambda spark, d: _autocorrelation(ticks(spark, d)),
+    f"WITH {TICKS_SQL} SELECT event_id, round(covar_pop({_HAVING}, before) OVER ({last(10)}) / nullif(stddev_pop({_HAVING}) OVER ({last(10)}) * stddev_pop(before) OVER ({last(10)}), 0) + 2e-7, 5) + 0.0 AS autocorr FROM {_PREVIOUS}")
+
+
+def _autocorrelation(rows):
+    rows = rows.withColumn("before", axis().lag(F.col("price")))
+    return rows.select("event_id", (F.round(fin.autocorrelation(F.col("price"), F.col("before"), axis(), 10) + 2e-7, 5) + 0.0).alias("autocorr"))
