@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm.common import map_arrow, materialise, slices, without
 
 #: Characters of labelled text that a model is fitted on, in expectation and over all languages.
-TRAIN_CHARS = 16_000_000
+TRAIN_CHARS = 8_000_000
 #: Letters of a word at most.
 RUN = 64
+#: Counted words whose n-grams are listed at once.
+PART = 40_000
 #: Entries of a task's counters before they are passed on; words whose scores a task remembers, and numbers in all.
 FLUSH, CACHE, CACHE_CELLS = 200_000, 400_000, 8_000_000
 #: Words beyond which more evidence doesn't sharpen the score.
@@ -106,6 +108,14 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
+def _sum_by(key: np.ndarray, lang: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and languages with the sum of their numbers, each pair once."""
+    order = np.lexsort((lang, key))
+    key, lang, n = key[order], lang[order], n[order]
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lang[1:] != lang[:-1])]) if len(key) else np.empty(0, np.int64)
+    return key[new], lang[new], np.add.reduceat(n, new) if len(new) else n
+
+
 class Table:
     """Counts of one kind of key by language, sparse: what a key adds to the score of an absent one, where it occurs."""
 
@@ -129,20 +139,20 @@ class Table:
 class Model:
     """Tables 0 for words and 1 to 4 for n-grams; ``langs`` in order."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in counts})
-        index = {lang: i for i, lang in enumerate(self.langs)}
-        lang = np.array([index[x] for x, _, _ in counts], np.int64)
-        n = np.array([x for _, _, x in counts], np.int64)
-        words = [w for _, w, _ in counts]
-        self.word = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        self.tables = [Table(np.array([self.word[w] for w in words], np.int64), lang, n, len(self.langs))]
+    def __init__(self, lang, words, n):
+        """Counted words: language, word and number, each pair of the first two once (sequences or Arrow columns)."""
+        lang, words = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else pa.array(x, pa.string()) for x in (lang, words))
+        coded, found = lang.dictionary_encode(), words.dictionary_encode()
+        self.langs = sorted(coded.dictionary.to_pylist())
+        place = np.array([self.langs.index(x) for x in coded.dictionary.to_pylist()], np.int64)
+        lang, n = place[coded.indices.to_numpy()], np.asarray(n, np.int64)
+        self.word = {w: i for i, w in enumerate(found.dictionary.to_pylist())}
+        self.tables = [Table(found.indices.to_numpy().astype(np.int64), lang, n, len(self.langs))]
         for size in (1, 2, 3, 4):
-            h, owner = _grams(words, size)
-            key, at = np.unique(h, return_inverse=True)
-            cell, at = np.unique(at * len(self.langs) + lang[owner], return_inverse=True)
-            key, by = key[cell // max(1, len(self.langs))], cell % max(1, len(self.langs))
-            self.tables.append(Table(key, by, np.bincount(at, n[owner], len(cell)), len(self.langs)))
+            parts = [_sum_by(h, lang[k:k + PART][owner], n[k:k + PART][owner]) for k in range(0, len(words), PART)
+                     for h, owner in [_grams(words[k:k + PART].to_pylist(), size)]]
+            empty = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+            self.tables.append(Table(*_sum_by(*(np.concatenate(c) for c in zip(empty, *parts))), len(self.langs)))
         self.absent = np.stack([t.absent for t in self.tables])
         words_by_lang = np.bincount(lang, n, len(self.langs)) if self.langs else np.empty(0)
         self.first = self.langs[int(words_by_lang.argmax())] if self.langs else UNKNOWN
@@ -214,7 +224,7 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chars: int = TRAIN_CHARS) -> Model:
     """Learns from a sample of the rows of ``docs`` that have a language; see ``sample``."""
     counts = count_words(sample(docs, text_col, lang_col, chars)).toArrow()  # bounded by the sample
-    return Model(sorted(zip(*(counts.column(c).to_pylist() for c in ("lang", "k", "n")))))
+    return Model(counts.column("lang"), counts.column("k"), counts.column("n"))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:

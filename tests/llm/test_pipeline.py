@@ -57,7 +57,7 @@ def test_language_stage(spark, docs):
     rows = docs.collect()
     known = {(r.lang, r.text) for r in rows if r.doc_id is not None and r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
     counts = Counter((lang, w) for lang, text in known for w in language.words_of(text))
-    model = language.Model(sorted((*k, n) for k, n in counts.items()))
+    model = language.Model(*zip(*sorted((*k, n) for k, n in counts.items())))
     want = Counter()
     for r in rows:
         (lang,), (score,) = model.predict([r.text], {})
