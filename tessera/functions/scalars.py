@@ -114,6 +114,19 @@ def list_resize(values: Column, n: int, fill: Column) -> Column:
     return F.when(F.size(values) >= n, F.slice(values, 1, n)).otherwise(F.concat(values, F.array_repeat(fill, F.lit(n) - F.size(values))))
 
 
+def constant_or_null(value, *given: Column) -> Column:
+    """A constant, or null where one of the others is."""
+    ok = F.lit(True)
+    for c in given:
+        ok = ok & c.isNotNull()
+    return F.when(ok, F.lit(value))
+
+
+def checked(value: Column, ok: Column, message: str) -> Column:
+    """A value, or an error that stops the query where the condition doesn't hold."""
+    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
+
+
 def regexp_escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([^A-Za-z0-9_])", r"\\$1")
 

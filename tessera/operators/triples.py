@@ -133,7 +133,7 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["s", "p", "o"])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.substring(F.md5(F.input_file_name()), 1, 12).alias("name"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.substring(F.md5(F.input_file_name()), 1, 12).alias("name"), "value")
     return files.mapInArrow(run, "s string, p string, o string")
 
 

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tessera.operators.joins import row_positions
+from tessera.session import cut
+
 
 def window_aggregate(df: DataFrame, on: str, size: str, aggs: dict[str, Column], by: Sequence[str] = (), slide: str | None = None,
                      gap: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -21,18 +24,46 @@ def window_aggregate(df: DataFrame, on: str, size: str, aggs: dict[str, Column],
     return out.select(*by, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *aggs)
 
 
+#: Positions of a block whose running sum is taken at once.
+SUM_BLOCK = 65_536
+
+
+def _per_key(rows: DataFrame, by: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Rows with an aggregate of their key; nulls are a key too. The keys' aggregates are joined back, so a hot key stays spread."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    each = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(value.alias(name))
+    on = F.lit(True)
+    for c, k in zip(by, keys):
+        on = on & rows[c].eqNullSafe(each[k])
+    return rows.join(each, on).drop(*keys)
+
+
 def count_windows(df: DataFrame, by: Sequence[str], order: Sequence, n: int) -> DataFrame:
-    """``window`` numbers runs of ``n`` rows of each key in order, from 0."""
-    at = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return df.withColumn("window", F.floor((at - 1) / n).cast("long"))
+    """``window`` numbers runs of ``n`` rows of each key in order, from 0.
+
+    Rows are numbered in one order over all keys, dealt by ranges of it, so a hot key isn't gathered in one task.
+    """
+    rows = _per_key(row_positions(df, [*by, *order], "_pos"), by, F.min("_pos"), "_first")
+    return rows.withColumn("window", F.floor((F.col("_pos") - F.col("_first")) / n).cast("long")).drop("_pos", "_first")
 
 
 def session_numbers(df: DataFrame, on: str, by: Sequence[str], gap_seconds: float, tie: str) -> DataFrame:
-    """``session`` numbers the sessions of each key from 1; a new one starts after a gap longer than ``gap_seconds``."""
-    w = W.partitionBy(*by).orderBy(on, tie)
+    """``session`` numbers the sessions of each key from 1; a new one starts after a gap longer than ``gap_seconds``.
+
+    Each row meets the one before it by its position in one order over all keys; the starts are summed block by block along that order.
+    """
     t = F.unix_micros(F.col(on).cast("timestamp"))
-    new = F.coalesce((t - F.lag(t).over(w) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    rows = cut(row_positions(df, [*by, on, tie], "_pos"))
+    before = rows.select((F.col("_pos") + 1).alias("_pos"), t.alias("_t"), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0)).alias("_key"))
+    same = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0)) == F.col("_key")
+    known = rows.join(before, "_pos", "left").withColumn("_new", F.when(same & (t - F.col("_t") <= gap_seconds * 1_000_000), 0).otherwise(1)).drop("_t", "_key")
+    known = cut(known.withColumn("_b", F.floor(F.col("_pos") / SUM_BLOCK)))
+    blocks = known.groupBy("_b").agg(F.sum("_new").alias("_n"))
+    blocks = blocks.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_before"))  # a row for each block
+    inside = F.sum("_new").over(W.partitionBy("_b").orderBy("_pos"))
+    summed = known.withColumn("_s", inside).join(blocks, "_b").withColumn("_s", F.col("_s") + F.col("_before"))
+    out = _per_key(summed, by, F.min("_s"), "_first")
+    return out.withColumn("session", F.col("_s") - F.col("_first") + 1).select(*df.columns, "session")
 
 
 def latest_by(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:

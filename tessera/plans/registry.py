@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import finance, graphs, relational, scalars, statements, streams, timeseries
+from tessera.plans import finance, graphs, relational, scalars, statements, streams, timeseries, upkeep
 
-_GROUPS = (relational, timeseries, finance, graphs, scalars, streams, statements)
+_GROUPS = (relational, timeseries, finance, graphs, scalars, streams, statements, upkeep)
 
 
 def queries() -> dict:

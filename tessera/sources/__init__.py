@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.session import cut
+
 _SUFFIXES = {".parquet": "parquet", ".csv": "csv", ".tsv": "csv", ".json": "json", ".ndjson": "json", ".jsonl": "json", ".orc": "orc", ".txt": "text", ".avro": "avro"}
 
 
@@ -62,8 +65,9 @@ def write(df: DataFrame, uri: str, mode: str = "error", partition_by: Sequence[s
 
 
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: str, **options) -> tuple[DataFrame, DataFrame]:
-    """Rows that parse, and those that don't: the whole ``line`` beside what could be parsed of it."""
-    rows = spark.read.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", **options).schema(f"{schema}, _bad string").csv(path)
+    """Rows that parse, and those that don't: the whole ``line`` beside what could be parsed of it. The files are parsed once, for both."""
+    rows = spark.read.options(**{"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", **options}).schema(f"{schema}, _bad string").csv(path)
+    rows = cut(rows)
     good = rows.where("_bad IS NULL").drop("_bad")
     return good, rows.where("_bad IS NOT NULL").withColumnRenamed("_bad", "line")
 
@@ -87,6 +91,67 @@ def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, key: st
     return rows.writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint}).start()
 
 
+def registry_frames(df: DataFrame, value: str = "value") -> DataFrame:
+    """Kafka values in the framing of a schema registry: adds ``schema_id`` and ``payload``; other values give nulls."""
+    v = F.col(value)
+    framed = (F.octet_length(v) >= 5) & (F.substring(v, 1, 1) == F.lit(b"\0"))
+    number = F.conv(F.hex(F.substring(v, 2, 4)), 16, 10).cast("int")
+    return df.withColumn("schema_id", F.when(framed, number)).withColumn("payload", F.when(framed, F.expr(f"substring(`{value}`, 6)")))
+
+
+def decode_avro(df: DataFrame, column: str, schemas: dict[int, str], out: str = "v") -> DataFrame:
+    """Framed Avro payloads decoded by the schema of their id (JSON text for each); rows of other ids give null. All schemas
+    must have one result type. Needs Spark's Avro package."""
+    from pyspark.sql.avro.functions import from_avro
+
+    decoded = F.lit(None)
+    rows = registry_frames(df, column)
+    for number, schema in schemas.items():
+        decoded = F.when(F.col("schema_id") == number, from_avro("payload", schema)).otherwise(decoded)
+    return rows.withColumn(out, decoded).drop("schema_id", "payload")
+
+
+def decode_protobuf(df: DataFrame, column: str, message: str, descriptor: bytes, out: str = "v") -> DataFrame:
+    """Protobuf values decoded by a message of a descriptor set. Needs Spark's Protobuf package."""
+    from pyspark.sql.protobuf.functions import from_protobuf
+
+    return df.withColumn(out, from_protobuf(column, message, binaryDescriptorSet=descriptor))
+
+
+def to_arrow_ipc(df: DataFrame) -> DataFrame:
+    """Rows as Arrow IPC streams: ``content binary``, one for each batch of a task."""
+
+    def run(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["content"])
+
+    return df.mapInArrow(run, "content binary")
+
+
+def from_arrow_ipc(df: DataFrame, schema: str) -> DataFrame:
+    """The rows of Arrow IPC files or streams in ``content``; columns are taken by name."""
+    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                buffer = data.as_buffer()
+                reader = pa.ipc.open_file(buffer) if buffer[:6].to_pybytes() == b"ARROW1" else pa.ipc.open_stream(buffer)
+                parts = (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "num_record_batches") else reader
+                for part in parts:
+                    yield part.select(names)
+
+    return df.select("content").mapInArrow(run, schema)
+
+
+def read_arrow_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Arrow IPC files (or streams) below a path; each file is read whole by one task."""
+    return from_arrow_ipc(spark.read.format("binaryFile").load(path), schema)
+
+
 def merge_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op") -> DataFrame:
     """A table after change events: of each key the newest change wins; ``op`` 'd' deletes, others insert or update."""
     rest = [c for c in changes.columns if c not in keys]

@@ -92,6 +92,42 @@ class KeyedFold(StatefulProcessor):
         pass
 
 
+class Silence(StatefulProcessor):
+    """Emits a key with its last time once the watermark has passed that time by ``gap_ms``: an event-time timer for each key."""
+
+    def __init__(self, key: str, on: str, gap_ms: int):
+        self.key, self.on, self.gap_ms = key, on, gap_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = max(pdf[self.on].max().value // 1_000_000 for pdf in rows if len(pdf))
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is None or newest > before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.gap_ms)
+            self.last.update((newest,))
+            self.handle.registerTimer(newest + self.gap_ms)
+        yield pd.DataFrame({self.key: [], "last_ms": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.last.exists():
+            yield pd.DataFrame({self.key: [key[0]], "last_ms": [self.last.get()[0]]})
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def silent_keys(df: DataFrame, key: str, on: str, gap_seconds: int, watermark: str = "5 seconds") -> DataFrame:
+    """``Silence`` over a stream, in append mode; the session must use the RocksDB state store."""
+    kind = dict(df.dtypes)[key]
+    rows = df.select(key, on).withWatermark(on, watermark)
+    return rows.groupBy(key).transformWithStateInPandas(Silence(key, on, gap_seconds * 1000), f"`{key}` {kind}, last_ms long", "Append", "EventTime")
+
+
 def keyed_fold(df: DataFrame, key: str, value: str, alpha: float = 0.5) -> DataFrame:
     """``KeyedFold`` over a stream, in update mode; the session must use the RocksDB state store."""
     kind = dict(df.dtypes)[key]

@@ -225,3 +225,109 @@ def test_sources(spark, tmp_path):
 def test_cut_ends_lineage(spark):
     df = cut(spark.range(10).withColumn("x", F.col("id") * 2))
     assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString() and df.agg(F.sum("x")).first()[0] == 90
+
+
+# ---- all pairs, A*, betweenness -----------------------------------------------------------------
+
+WEIGHTED = [(0, 1, 5.0), (0, 2, 2.0), (1, 3, 3.0), (1, 4, 1.0), (2, 4, 2.0), (4, 3, 1.0), (4, 5, 4.0)]
+
+
+def test_all_pairs_and_a_star(spark):
+    e = _df(spark, WEIGHTED, "src long, dst long, w double")
+    pairs = {(r.start, r.finish): r.dist for r in graph.all_pairs(e, weight="w").collect()}
+    assert [pairs[0, i] for i in range(6)] == [0, 5, 2, 5, 4, 8] and (3, 0) not in pairs
+    for left in (F.lit(0.0), F.when(F.col("id") == 4, 4.0).when(F.col("id") == 5, 0.0).otherwise(4.5)):
+        found = {r.id: r for r in graph.a_star(e, 0, 5, left, weight="w").collect()}
+        assert found[5].dist == 8 and found[5].parent == 4 and found[4].parent == 2
+    assert graph.a_star(e, 3, 0, F.lit(0.0), weight="w").where("id = 0").isEmpty()
+    with pytest.raises(ValueError):
+        graph.all_pairs(e.withColumn("w", -F.col("w")), weight="w")
+
+
+def _paths(edges, s, t):
+    """All simple paths by brute force."""
+    out, stack = [], [(s, [s], 0.0)]
+    while stack:
+        at, path, cost = stack.pop()
+        if at == t and len(path) > 1:
+            out.append((cost, path))
+            continue
+        stack += [(b, [*path, b], cost + w) for a, b, w in edges if a == at and b not in path]
+    least = min((c for c, _ in out), default=None)
+    return [p for c, p in out if c == least]
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_betweenness_equals_brute_force(spark, weight):
+    rng = np.random.default_rng(3)
+    edges = {(int(a), int(b)): float(rng.integers(1, 4)) for a, b in rng.integers(0, 9, (26, 2)) if a != b}
+    rows = [(a, b, w if weight else 1.0) for (a, b), w in edges.items()]
+    vertex, edge = {v: 0.0 for ab in edges for v in ab}, dict.fromkeys(edges, 0.0)
+    for s in vertex:
+        for t in vertex:
+            short = _paths(rows, s, t) if s != t else []
+            for p in short:
+                for v in p[1:-1]:
+                    vertex[v] += 1 / len(short)
+                for ab in zip(p, p[1:]):
+                    edge[ab] += 1 / len(short)
+    e = _df(spark, rows, "src long, dst long, w double")
+    assert {r.id: pytest.approx(r.score) for r in graph.betweenness(e, weight=weight).collect()} == vertex
+    assert {(r.src, r.dst): pytest.approx(r.score) for r in graph.edge_betweenness(e, weight=weight).collect()} == edge
+    n = len(vertex)
+    assert graph.betweenness(e, weight=weight, normalised=True).agg(F.max("score")).first()[0] == pytest.approx(max(vertex.values()) / ((n - 1) * (n - 2)))
+
+
+def test_global_rank_equals_window(spark):
+    rows = [(i, i * 7 % 13) for i in range(200)]
+    out = joins.global_rank(_df(spark, rows, "id long, v long"), [F.col("v").desc()], "place").collect()
+    assert {r.id: r.place for r in out} == {i: 1 + sum(w > v for _, w in rows) for i, v in rows}
+
+
+# ---- more of triples ----------------------------------------------------------------------------
+
+def test_turtle_and_quads(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text('''@prefix ex: <http://e.org/> . # a comment
+@base <http://b.org/> .
+ex:a a ex:Person ; ex:name "Ann \\"A\\""@en , "x"^^ex:t ; ex:age 41 ; ex:height 1.7 ; ex:ok true .
+<c> ex:knows [ ex:name """two
+lines""" ], _:n .
+''')
+    got = {tuple(r) for r in triples.read_turtle(spark, str(tmp_path / "a.ttl")).collect()}
+    e, xsd = "<http://e.org/{}>".format, "<http://www.w3.org/2001/XMLSchema#{}>".format
+    fixed = {(e("a"), "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", e("Person")), (e("a"), e("name"), '"Ann \\"A\\""@en'), (e("a"), e("name"), f'"x"^^{e("t")}'),
+             (e("a"), e("age"), f'"41"^^{xsd("integer")}'), (e("a"), e("height"), f'"1.7"^^{xsd("decimal")}'), (e("a"), e("ok"), f'"true"^^{xsd("boolean")}')}
+    rest = got - fixed
+    assert fixed <= got and len(rest) == 3 and {s for s, p, _ in rest if p == e("knows")} == {"<http://b.org/c>"}
+    (blank,) = {o for _, p, o in rest if p == e("knows") and o.endswith("t1")}
+    assert (blank, e("name"), '"two\\nlines"') in rest
+    (tmp_path / "a.nq").write_text('<http://a> <http://p> "v" <http://g> .\n<http://a> <http://p> <http://b> .\n')
+    assert sorted((r.o, r.g) for r in triples.read_nquads(spark, str(tmp_path / "a.nq")).collect()) == [('"v"', "<http://g>"), ("<http://b>", None)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_unbound_variables_agree_with_every_value(spark, how):
+    rng = np.random.default_rng(5)
+    value = lambda: [None, "a", "b", "c"][rng.integers(0, 4)]
+    a, b = [[("x", "y")[rng.integers(0, 2)], value(), value()] for _ in range(12)], [[("x", "z")[rng.integers(0, 2)], value(), value()] for _ in range(10)]
+    left = _df(spark, [(*r, i) for i, r in enumerate(a)], "k string, u string, v string, i int")
+    right = _df(spark, [(*r, j) for j, r in enumerate(b)], "k string, u string, v string, j int")
+    want = []
+    for i, (k, u, v) in enumerate(a):
+        hits = [(k, u if u is not None else u2, v if v is not None else v2, i, j) for j, (k2, u2, v2) in enumerate(b)
+                if k == k2 and (u is None or u2 is None or u == u2) and (v is None or v2 is None or v == v2)]
+        want += hits or ([(k, u, v, i, None)] if how == "left" else [])
+    out = triples.join_solutions(left, right, how, unbound=["u", "v"]).select("k", "u", "v", "i", "j").collect()
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
+
+
+def test_linear_recurrence_equals_loop():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 1000):
+        x, v, want = rng.normal(size=n), 0.5, []
+        for a in x:
+            v = 0.93 * v + a
+            want.append(v)
+        assert np.allclose(fin.linear(x, 0.93, 0.5), want, rtol=1e-12, atol=1e-12)
+    assert fin.linear(np.ones(3), 0.0).tolist() == [1, 1, 1] and fin.linear(np.ones(3), 1.0).tolist() == [1, 2, 3]
