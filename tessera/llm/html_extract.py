@@ -7,7 +7,7 @@ like content; an enclosing ``article`` or ``main`` stands for the best container
 footers, sidebars, notices, adverts, forms and reader comments are pruned wherever they stand.
 
 Elements that their tag, role or visibility marks as furniture are pruned at once. A class or id marks furniture if one of its names is such a word or
-begins or ends with one (``ad-slot``, ``left-sidebar``, but not ``with-sidebar``). Blocks so marked, forms and page headers are pruned only
+has one (``ad-slot``, ``left-sidebar``, but not ``with-sidebar``). Blocks so marked, forms and page headers are pruned only
 once all text is known: an element that holds half of the page's points stays if it encloses an ``article`` or ``main``, or if it is no furniture by
 its full name and no such element with text stands elsewhere. Reader comments never stay. Lists of links count as menus by their short link texts.
 
@@ -48,7 +48,7 @@ _DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
     "consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification overlay pager pagination popup promo promoted promotion related recommended replies respond "
-    "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget alert".split()
+    "search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar alert".split()
 )
 #: Those of reader comments; and words before one of the above that turn it into a remark on the layout.
 _READERS = frozenset("comment comments commentlist disqus replies respond".split())
@@ -75,11 +75,9 @@ def _named(value: str, in_article: bool) -> int:
     mark = 0
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name)]
-        if not words or words == ["header"] and in_article:
-            continue
-        for at in {0, len(words) - 1}:
-            if words[at] in _DROP_WORDS and not (at and words[at - 1] in _LAYOUT):
-                mark = max(mark, COMMENTS if words[at] in _READERS else FULL if len(words) == 1 else PART)
+        for at, w in enumerate(words):
+            if w in _DROP_WORDS and not (at and words[at - 1] in _LAYOUT) and not (in_article and w == "header"):
+                mark = max(mark, COMMENTS if w in _READERS else FULL if len(words) == 1 else PART)
     return mark
 
 
