@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import free_name, materialise
+from tessera.llm.common import discard, free_name, materialise
 
 #: Rounds after which a kind of bounded form counts as run out; each settles most of what is left, so few are needed.
 ROUNDS = 200
@@ -249,25 +249,25 @@ def _owners(claims: DataFrame, taken: list[DataFrame]) -> DataFrame:
     return first.select("kind", "s", "o.normal", "o.attempt")
 
 
-def _exceptions(found: DataFrame, key: str) -> DataFrame:
-    """``kind, normal, attempt`` of entities whose first proposal is another's, or a value of the corpus."""
+def _exceptions(found: DataFrame, key: str, write=materialise) -> DataFrame:
+    """``kind, normal, attempt`` of entities whose first proposal is another's, or a value of the corpus. ``write`` stores what is read again."""
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = found.groupBy("kind", "normal").agg(F.min("x").alias("x")).repartition(parts, "kind", "normal")
-    known = materialise(known, "entities").repartition(parts, "kind", "normal")
+    known = write(known, "entities").repartition(parts, "kind", "normal")
     values = known.select("kind", F.col("normal").alias("s"))
-    first = materialise(_owners(_proposals(known.withColumn("attempt", F.lit(0)), key), [values]), "first-proposals")
+    first = write(_owners(_proposals(known.withColumn("attempt", F.lit(0)), key), [values]), "first-proposals")
     lost = known.join(first.select("kind", "normal"), ["kind", "normal"], "left_anti")
-    lost = materialise(lost, "lost")  # few: those whose first proposal was taken
+    lost = write(lost, "lost")  # few: those whose first proposal was taken
     taken, moved = [values, first.select("kind", "s")], lost.select("kind", "normal", F.lit(0).alias("attempt")).where("false")
     for attempt in range(1, ROUNDS):
         if lost.isEmpty():
             return moved
         if attempt == STRICT:
             taken = taken[1:]
-        won = materialise(_owners(_proposals(lost.withColumn("attempt", F.lit(attempt)), key), taken), "later-proposals")
+        won = write(_owners(_proposals(lost.withColumn("attempt", F.lit(attempt)), key), taken), "later-proposals")
         taken.append(won.select("kind", "s"))
         moved = moved.union(won.select("kind", "normal", "attempt"))
-        lost = materialise(lost.join(won.select("kind", "normal"), ["kind", "normal"], "left_anti"), "lost")
+        lost = write(lost.join(won.select("kind", "normal"), ["kind", "normal"], "left_anti"), "lost")
     if lost.isEmpty():
         return moved
     raise ValueError(f"no surrogate is left for {lost.count()} entities of kinds {[r.kind for r in lost.select('kind').distinct().collect()]}")
@@ -280,13 +280,20 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text", cou
     """
     text = F.col(f"`{text_col}`")
     found = docs.select(F.xxhash64(text).alias("h"), F.explode(_entities(text)).alias("e")).select("h", "e.*").where("kind <> 'number'")
-    found = materialise(found, "found")  # a small part of the texts; found once
-    moved = _exceptions(found, key)
+    made: list[DataFrame] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
+    found = write(found, "found")  # a small part of the texts; found once
+    moved = _exceptions(found, key, write)
     lookup = found.select("h", "kind", "normal").distinct().join(moved, ["kind", "normal"])
     name = F.concat_ws("|", "kind", "normal")
     by, at = free_name(docs, "moved"), free_name(docs, "moved_in")
     lookup = lookup.groupBy(F.col("h").alias(at)).agg(F.map_from_entries(F.collect_set(F.struct(name.alias("k"), "attempt"))).alias(by))
     lookup = materialise(lookup, "moved")
+    discard(*made)
 
     rows = docs.join(lookup, F.xxhash64(text) == F.col(at), "left")
     entities = free_name(docs, "entities")

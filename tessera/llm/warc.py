@@ -25,7 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import materialise, shared_path, slices
+from tessera.llm.common import discard, materialise, shared_path, slices
 
 #: Bytes of records after which a new ARC segment (with its own version block) begins.
 SEGMENT_BYTES = 4 << 20
@@ -210,6 +210,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_byte
             yield _lines(parts)
 
     rows.select(*names).mapInArrow(run, "value string").write.options(**_WRITE).text(warc_path)
+    discard(meta, revisits)
 
 
 def parse_warc(data: bytes):
