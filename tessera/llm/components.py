@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tessera.llm.common import discard, materialise
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges written to shared storage, and their number and checksum, observed as they are written."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"))
+    out = materialise(counted, "cc")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,19 +21,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Minima are pre-aggregated and joined back, so a hub's edges are never gathered in one task. Each round is
     written to shared storage, where it replaces the one before; only a count and a checksum reach the driver.
     """
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = materialise(edges, "cc")
-    state = _state(edges)
-    while True:
+    edges, state = _stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    while state[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        before, edges = edges, materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, (edges, now) = edges, _stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         discard(before)
-        now = _state(edges)
         if now == state:
             break
         state = now

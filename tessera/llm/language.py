@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm.common import map_arrow, materialise, slices, without
 
 #: Characters of labelled text that a model is fitted on, in expectation and over all languages.
-TRAIN_CHARS = 8_000_000
+TRAIN_CHARS = 6_000_000
 #: Letters of a word at most.
 RUN = 64
 #: Counted words whose n-grams are listed at once.

@@ -12,8 +12,8 @@ members aren't yet connected. So no pair between copies already connected is eve
 deviations) are dropped before their sets are read.
 
 At 0.75 a pair misses all orders with probability (1 - 0.75 ** SHALLOW) ** TREES, about 2e-6. In regions that are cut deeper a pair
-needs a longer common prefix; there the stars and the many orders connect tight groups. What they leave apart is compared exactly: a crowd is what
-regions too crowded at depth ``SHALLOW`` hold, joined where they share members. If the two rounds leave it in several components (many texts of one
+needs a longer common prefix; there the stars and the many orders connect tight groups. What they leave apart is compared exactly: a crowd is a
+region too crowded at depth ``SHALLOW``. If the two rounds leave it in several components (many texts of one
 template), all pairs between different components are counted on full sets, block by block. So no pair that meets in an order is lost, at a cost
 quadratic in what the rounds leave apart in a crowd; pairs within a component of more than a block are never counted.
 
@@ -264,14 +264,10 @@ def _crowd_links(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     """Links between different components of a crowd; nothing where each region is in one component."""
     part = crowd.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", F.coalesce("component", "rep").alias("c"))
     part = write(part, "crowd")
-    mixed = part.groupBy("region").agg(F.min("rep").alias("head"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-    mixed = write(mixed.select("region", "head"), "mixed")
+    mixed = write(part.groupBy("region").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("region"), "mixed")
     if mixed.isEmpty():
         return None
-    left = part.join(mixed, "region")
-    groups = connected_components(left.select(F.col("rep").alias("a"), F.col("head").alias("b"))).withColumnRenamed("component", "crowd")
-    rows = groups.withColumnRenamed("node", "rep").join(left.select("rep", "c").distinct(), "rep")
-    rows = rows.join(sets, "rep").distinct()
+    rows = part.join(mixed, "region").select(F.col("region").alias("crowd"), "rep", "c").join(sets, "rep").distinct()
     rows = write(rows.select("crowd", "c", "rep", "s"), "crowd-sets")
 
     # Components of more than a block have blocks of their own, the others share some.
@@ -317,7 +313,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     first = write(_pairs(nearest), "first")
     sets = _sets(docs, reps, members, stars, write)
     links = _confirm(_likely(first, reps, percent / 100), sets, percent, write)
-    joined = write(connected_components(links), "joined")
+    joined = materialise(connected_components(links), "joined")
 
     # Round 2: all other candidates that aren't connected yet.
     part = members.select("region", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -332,12 +328,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     outer = outer.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     second = _pairs(inner.union(outer)).join(first, ["a", "b"], "left_anti")
     more = _confirm(_likely(second, reps, percent / 100), sets, percent, write)
-    found = connected_components(links.union(more))
+    # From the stars of round 1 on: fewer rounds than from its links.
+    found = joined if more.isEmpty() else connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     joining = _crowd_links(crowd, found, sets, percent, write) if crowd is not None else None
-    if joining is not None:
+    if joining is not None and not joining.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joining))
 
-    discard(*made)
+    discard(*made, *([joined] if found is not joined else []))
 
     classes = reps.select("digest", "first", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = materialise(classes.select("digest", "first", F.coalesce("component", "rep").alias("c")), "class-components")

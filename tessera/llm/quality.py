@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.llm.common import map_arrow, materialise, without
 
 #: Labelled documents, and characters of their texts, that the model is fitted on at most.
-TRAIN_DOCS, TRAIN_CHARS = 6_000, 24_000_000
+TRAIN_DOCS, TRAIN_CHARS = 4_000, 12_000_000
 #: Characters of a passage at most.
 PASSAGE = 600
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 40, 128, 0.01
@@ -177,10 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str =
     fits = np.cumsum(at.column("n").to_numpy()) <= train_chars
     if not fits.all():
         rows = rows.where(F.xxhash64("_key") <= at.column("at")[max(1, int(fits.sum())) - 1].as_py())
-    found = sorted(_features(rows.select("label", "_text")).collect(), key=lambda r: (r["label"], r["n"], bytes(r["x"])))
-    counts = np.array([r["n"] for r in found], np.int64)
-    x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in found]).reshape(-1, N_FEATURES).astype(float) if found else np.empty((0, N_FEATURES))
-    return Model().fit(x, counts, np.array([r["label"] for r in found], float))
+    got = _features(rows.select("label", "_text")).toArrow()  # of bounded texts
+    label, counts = got.column("label").to_numpy(), got.column("n").to_numpy()
+    raw = [v.as_buffer() for chunk in got.column("x").chunks for v in chunk]
+    order = sorted(range(len(raw)), key=lambda i: (label[i], counts[i], raw[i].to_pybytes()[:1024]))
+    x = np.frombuffer(b"".join([raw[i] for i in order]), np.float32).reshape(-1, N_FEATURES)
+    return Model().fit(x, counts[order], label[order])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
