@@ -33,7 +33,7 @@ RUN = 64
 #: Counted words whose n-grams are listed at once.
 PART = 40_000
 #: Entries of a task's counters before they are passed on; words whose scores a task remembers, and numbers in all.
-FLUSH, CACHE, CACHE_CELLS = 200_000, 400_000, 8_000_000
+FLUSH, CACHE, CACHE_CELLS = 100_000, 120_000, 1_000_000
 #: Words beyond which more evidence doesn't sharpen the score.
 EVIDENCE = 20
 UNKNOWN = "und"
@@ -238,4 +238,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
         langs, scores = shared.value.predict(batch.column("_text").to_pylist(), memory)
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=[*kept, pred_col, score_col])
 
-    return map_arrow(docs.select(*kept, F.col(text_col).alias("_text")), run, schema, "_text")
+    return map_arrow(docs.select(*kept, F.col(text_col).alias("_text")), run, schema, "_text", max_bytes=1 << 20)

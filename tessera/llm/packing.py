@@ -29,7 +29,7 @@ from tessera.llm.common import slices
 #: Sequences in a pool: bounds a task's memory; pools don't depend on the size of the table.
 POOL_SEQUENCES = 512
 #: Words or chunks of text whose ids a Python worker remembers; the memory is emptied when full.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 200_000
 #: Attention cost of a token pair against the linear cost of a token.
 QUADRATIC = 1 / 1024
 

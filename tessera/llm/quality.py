@@ -163,7 +163,7 @@ def _features(docs: DataFrame) -> DataFrame:
         raw = [x[i:i + n].tobytes() for i, n in zip(starts, counts)]
         return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(raw, pa.binary()), pa.array(counts)], names=["label", "x", "n"])
 
-    return map_arrow(docs, run, "label double, x binary, n long", "_text")
+    return map_arrow(docs, run, "label double, x binary, n long", "_text", max_bytes=1 << 20)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -195,4 +195,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         x, counts = encode([passages(t) for t in batch.column("_text").to_pylist()])
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(x, counts))], names=[*kept, score_col])
 
-    return map_arrow(docs.select(*kept, F.col(text_col).alias("_text")), run, schema, "_text", max_bytes=2 << 20)
+    return map_arrow(docs.select(*kept, F.col(text_col).alias("_text")), run, schema, "_text", max_bytes=1 << 20)
