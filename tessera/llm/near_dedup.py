@@ -13,9 +13,9 @@ deviations) are dropped before their sets are read.
 
 At 0.75 a pair misses all orders with probability (1 - 0.75 ** SHALLOW) ** TREES, about 2e-6. In regions that are cut deeper a pair
 needs a longer common prefix; there the stars and the many orders connect tight groups. What they leave apart is compared exactly: a crowd is a
-region too crowded at depth ``SHALLOW``. If the two rounds leave it in several components (many texts of one
+region too crowded at depth ``SHALLOW``. If round 1 leaves it in several components (many texts of one
 template), all pairs between different components are counted on full sets, block by block. So no pair that meets in an order is lost, at a cost
-quadratic in what the rounds leave apart in a crowd; pairs within a component of more than a block are never counted.
+quadratic in what round 1 leaves apart in a crowd; pairs within a component of more than a block are never counted.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; fewer than five words
 are one shingle; very long texts are read whole; a component is called by its smallest id (null if it has null ids alone), and one text of it is kept: the one of the smallest
@@ -41,7 +41,7 @@ TREES, DEPTH, SHALLOW, REGION = 24, 6, 3, 24
 #: Documents, and bytes of their sets, that a block of a crowd holds on average; columns of a product.
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 4096
 #: Word hashes that a task remembers.
-CACHE = 300_000
+CACHE = 150_000
 _HASHES = TREES * DEPTH
 _rng = np.random.default_rng(20240101)
 _A = (_rng.integers(1, 1 << 32, _HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -329,10 +329,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text_col: str = "
     second = _pairs(inner.union(outer)).join(first, ["a", "b"], "left_anti")
     more = _confirm(_likely(second, reps, percent / 100), sets, percent, write)
     # From the stars of round 1 on: fewer rounds than from its links.
+    joining = _crowd_links(crowd, joined, sets, percent, write) if crowd is not None else None
+    more = more.union(joining) if joining is not None else more
     found = joined if more.isEmpty() else connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    joining = _crowd_links(crowd, found, sets, percent, write) if crowd is not None else None
-    if joining is not None and not joining.isEmpty():
-        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joining))
 
     discard(*made, *([joined] if found is not joined else []))
 
